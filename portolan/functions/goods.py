@@ -1,13 +1,15 @@
 """Goods descriptions: code and name splitting, diagnosis, family and variant.
 
-The two long rewrites add columns step by step.  Each step reads the previous
-one several times, so the steps are kept as separate projections (Catalyst does
-not inline an expression that is used more than once) and still run in one
-code-generated stage.
+The long rewrites read each intermediate text several times.  ``let`` binds such
+a text to a name inside one expression, so the expression grows with the number
+of steps and not with their product, also after a filter on its result has been
+pushed below the projection.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ from portolan import fixed_values as fv
 from portolan.functions.text import RX, RX_DOTALL, as_column, blank_to_null, clean_text, strip, title_case
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _cut(text, pattern: str, flags: str = RX) -> Column:
     return F.trim(F.regexp_replace(text, flags + pattern, ""))
 
@@ -28,112 +35,157 @@ def _is_code(text) -> Column:
     return (text != "") & (text.rlike(r"\d") | (F.length(text) >= 4))
 
 
+def _state(code, text) -> Column:
+    return F.struct(code.alias("code"), text.alias("text"))
+
+
+def _take(pattern: str, rest: Callable[[Column], Column], accepted: Callable[[Column], Column], only_if_empty: bool = False):
+    """A step that moves a token from the text to the code.
+
+    The first token found becomes the code; later ones are only removed.
+    """
+
+    def step(s: Column) -> Column:
+        token = _group(s["text"], pattern)
+        if only_if_empty:
+            token = F.when(s["code"] == "", token).otherwise("")
+        return let(
+            token,
+            lambda t: F.when(
+                accepted(t), _state(F.when(s["code"] == "", t).otherwise(s["code"]), rest(s["text"]))
+            ).otherwise(s),
+        )
+
+    return step
+
+
+def _present(token: Column) -> Column:
+    return token != ""
+
+
+_FIRST_EAN = RX + r"^(.*?)" + fv.ANY_EAN_PATTERN + r"(.*)$"
+_CODE_STEPS = [
+    _take(fv.TRAILING_EAN_PATTERN, lambda t: _cut(t, fv.TRAILING_EAN_PATTERN), _present),
+    _take(fv.LEADING_EAN_PATTERN, lambda t: F.trim(_group(t, fv.LEADING_EAN_PATTERN, 2)), _present, only_if_empty=True),
+    _take(fv.LEADING_CODE_PATTERN, lambda t: F.trim(_group(t, fv.LEADING_CODE_PATTERN, 2)), _is_code),
+    _take(fv.TRAILING_CODE_PATTERN, lambda t: _cut(t, fv.TRAILING_CODE_PATTERN), _is_code),
+    _take(fv.LEADING_SKU_PATTERN, lambda t: F.trim(_group(t, fv.LEADING_SKU_PATTERN, 2)), lambda t: t.rlike(r"\d")),
+    _take(fv.ANY_EAN_PATTERN, lambda t: F.trim(F.regexp_replace(t, _FIRST_EAN, "$1 $3")), _present),
+]
+
+
+def _without_brand_prefix(text: Column, brand) -> Column:
+    """Drop the brand where a lot letter or a separator shows it is a prefix."""
+    brand = as_column(brand)
+    named = blank_to_null(brand).isNotNull() & ~F.upper(brand).isin(fv.OBSERVATION_NO_BRAND)
+    quoted = F.concat(F.lit(r"\Q"), F.trim(brand), F.lit(r"\E"))
+    prefix = F.concat(F.lit(RX + r"^(?:[A-Za-z]-[ ]*"), quoted, F.lit("|"), quoted, F.lit(r"\s*[-:])\s*"))
+    # The pattern differs per row; most rows have no separator and skip it.
+    worth_trying = named & (text.contains("-") | text.contains(":"))
+    return F.when(worth_trying, F.trim(F.regexp_replace(text, prefix, F.lit("")))).otherwise(text)
+
+
+def _tidy(text: Column, brand) -> Column:
+    """Item marks, tariff and brand prefixes and loose signs, in this order."""
+    for pattern in fv.ITEM_SEQUENCE_PATTERNS:
+        text = _cut(text, pattern)
+
+    def shorter(full: Column) -> Column:
+        without = _cut(_cut(full, fv.TARIFF_PREFIX_PATTERN), fv.TARIFF_OTHERS_PATTERN)
+        return let(without, lambda w: F.when(F.length(w) >= 3, w).otherwise(full))
+
+    text = let(text, shorter)
+    if brand is not None:
+        text = let(text, lambda t: _without_brand_prefix(t, brand))
+    text = _cut(_cut(text, fv.LOOSE_ENDING_PATTERN), r"[-–]\s*$")
+    return F.trim(F.regexp_replace(_cut(text, r"^[-:\s]+|[-:\s]+$"), r"\s{2,}", " "))
+
+
+def observation(text, brand=None) -> Column:
+    """Struct (code, text): product code ('' if none) and clean name of a raw text."""
+
+    def split(whole: Column) -> Column:
+        def finish(s: Column) -> Column:
+            return let(
+                _tidy(s["text"], brand), lambda t: _state(s["code"], F.when(t == "", whole).otherwise(t))
+            )
+
+        state = _state(F.lit(""), _cut(whole, fv.LEAKED_HEADER_PATTERN, RX_DOTALL))
+        for step in _CODE_STEPS:
+            state = let(state, step)
+        return let(state, finish)
+
+    return let(F.coalesce(clean_text(text), F.lit("")), split)
+
+
 def split_observation(
     df: DataFrame, text: str, brand: str | None = None, code_out: str = "product_code", name_out: str = "description"
 ) -> DataFrame:
-    """Split a raw observation into a product code ('' if none) and a clean name."""
-    c, d, whole = "_obs_code", "_obs_text", "_obs_whole"
-    col = F.col
-
-    # 0-1: leaked page header, trailing EAN.
-    df = df.withColumn(whole, F.coalesce(clean_text(text), F.lit("")))
-    df = df.withColumn(d, _cut(whole, fv.LEAKED_HEADER_PATTERN, RX_DOTALL))
-    df = df.withColumn(c, _group(d, fv.TRAILING_EAN_PATTERN)).withColumn(d, _cut(d, fv.TRAILING_EAN_PATTERN))
-    # 2: leading EAN, only without a trailing one.
-    df = df.withColumn("_hit", F.when(col(c) == "", _group(d, fv.LEADING_EAN_PATTERN)).otherwise(""))
-    df = df.withColumn(d, F.when(col("_hit") != "", F.trim(_group(d, fv.LEADING_EAN_PATTERN, 2))).otherwise(col(d)))
-    df = df.withColumn(c, F.when(col("_hit") != "", col("_hit")).otherwise(col(c)))
-    # 3-5: labelled code in front, labelled code at the end, bare SKU in front.
-    for pattern, rest, accepted in (
-        (fv.LEADING_CODE_PATTERN, lambda p: F.trim(_group(d, p, 2)), _is_code),
-        (fv.TRAILING_CODE_PATTERN, lambda p: _cut(d, p), _is_code),
-        (fv.LEADING_SKU_PATTERN, lambda p: F.trim(_group(d, p, 2)), lambda t: t.rlike(r"\d")),
-    ):
-        df = df.withColumn("_hit", _group(d, pattern))
-        df = df.withColumn("_ok", accepted(col("_hit")))
-        df = df.withColumn(d, F.when(col("_ok"), rest(pattern)).otherwise(col(d)))
-        df = df.withColumn(c, F.when(col("_ok") & (col(c) == ""), col("_hit")).otherwise(col(c)))
-    # 6: one EAN left inside the text.
-    df = df.withColumn("_hit", _group(d, fv.ANY_EAN_PATTERN))
-    first_ean = RX + r"^(.*?)" + fv.ANY_EAN_PATTERN + r"(.*)$"
-    df = df.withColumn(d, F.when(col("_hit") != "", F.trim(F.regexp_replace(d, first_ean, "$1 $3"))).otherwise(col(d)))
-    df = df.withColumn(c, F.when(col(c) == "", col("_hit")).otherwise(col(c)))
-    # 7: item sequence marks.
-    for pattern in fv.ITEM_SEQUENCE_PATTERNS:
-        df = df.withColumn(d, _cut(d, pattern))
-    # 8: tariff and unit prefixes, unless almost nothing would remain.
-    df = df.withColumn("_hit", _cut(_cut(d, fv.TARIFF_PREFIX_PATTERN), fv.TARIFF_OTHERS_PATTERN))
-    df = df.withColumn(d, F.when(F.length("_hit") >= 3, col("_hit")).otherwise(col(d)))
-    # 9: brand with a lot letter or a separator in front of the name.
-    if brand is not None:
-        named = blank_to_null(col(brand)).isNotNull() & ~F.upper(col(brand)).isin(fv.OBSERVATION_NO_BRAND)
-        quoted = F.concat(F.lit(r"\Q"), F.trim(col(brand)), F.lit(r"\E"))
-        prefix = F.concat(F.lit(RX + r"^(?:[A-Za-z]-[ ]*"), quoted, F.lit("|"), quoted, F.lit(r"\s*[-:])\s*"))
-        worth_trying = col(d).contains("-") | col(d).contains(":")
-        df = df.withColumn(d, F.when(named & worth_trying, F.trim(F.regexp_replace(col(d), prefix, F.lit("")))).otherwise(col(d)))
-    # 10: loose signs at the ends.
-    df = df.withColumn(d, _cut(_cut(d, fv.LOOSE_ENDING_PATTERN), r"[-–]\s*$"))
-    df = df.withColumn(d, F.trim(F.regexp_replace(_cut(d, r"^[-:\s]+|[-:\s]+$"), r"\s{2,}", " ")))
+    """Add product code and clean name of a raw observation column."""
     return (
-        df.withColumn(name_out, F.when(col(d) == "", col(whole)).otherwise(col(d)))
-        .withColumn(code_out, col(c))
-        .drop(c, d, whole, "_hit", "_ok")
+        df.withColumn("_obs", observation(text, brand))
+        .withColumn(code_out, F.col("_obs.code"))
+        .withColumn(name_out, F.col("_obs.text"))
+        .drop("_obs")
     )
 
 
-def diagnose(df: DataFrame, text: str = "description", brand: str = "brand", code: str = "product_code") -> DataFrame:
-    """Add what is wrong with a goods line and what it should read.
+def diagnosis(text, brand, code) -> Column:
+    """What is wrong with a goods line and what it should read, as one struct."""
+
+    def trimmed(c) -> Column:
+        return strip(F.coalesce(as_column(c), F.lit("")))
+
+    def judge(raw: Column) -> Column:
+        t, k, new = raw["t"], raw["k"], raw["new"]
+        cutoff = t.rlike(RX + fv.CUTOFF_PATTERN)
+        name = F.when(cutoff | (new["text"] == ""), t).otherwise(new["text"])
+        product = F.when(cutoff | (new["code"] == ""), k).otherwise(new["code"])
+        embedded = t.rlike(RX + fv.EMBEDDED_CODE_START_PATTERN) | t.rlike(RX + fv.TRAILING_CODE_PATTERN)
+        found = F.array_compact(
+            F.array(
+                F.when(t.rlike(RX + fv.HEADER_LEAK_PATTERN), fv.ISSUE_HEADER),
+                F.when(embedded, fv.ISSUE_CODE),
+                F.when(t.rlike(RX + fv.TARIFF_ISSUE_PATTERN), fv.ISSUE_TARIFF),
+                F.when(t.rlike(RX + fv.LOOSE_ENDING_PATTERN) | t.endswith("-"), fv.ISSUE_ENDING),
+            )
+        )
+        return F.struct(
+            t.alias("t"), k.alias("k"), raw["b"].alias("b"), cutoff.alias("cutoff"), name.alias("name"),
+            product.alias("product"), F.when(cutoff, F.array(F.lit(fv.ISSUE_CUTOFF))).otherwise(found).alias("found"),
+        )
 
-    New columns: ``issues`` (array), ``is_clean``, ``suggested_description``,
-    ``suggested_code``, ``suggested_brand``, ``audit_confidence`` and ``needs_source``.
-    """
-    col = F.col
-    df = df.withColumn("_t", strip(F.coalesce(as_column(text), F.lit(""))))
-    df = df.withColumn("_b", strip(F.coalesce(as_column(brand), F.lit(""))))
-    df = df.withColumn("_k", strip(F.coalesce(as_column(code), F.lit(""))))
-    df = split_observation(df, "_t", "_b", "_new_code", "_new_text")
-
-    cutoff = col("_t").rlike(RX + fv.CUTOFF_PATTERN)
-    header = col("_t").rlike(RX + fv.HEADER_LEAK_PATTERN)
-    embedded = col("_t").rlike(RX + fv.EMBEDDED_CODE_START_PATTERN) | col("_t").rlike(RX + fv.TRAILING_CODE_PATTERN)
-    tariff = col("_t").rlike(RX + fv.TARIFF_ISSUE_PATTERN)
-    ending = col("_t").rlike(RX + fv.LOOSE_ENDING_PATTERN) | col("_t").endswith("-")
-    df = (
-        df.withColumn("needs_source", cutoff)
-        .withColumn("suggested_description", F.when(cutoff | (col("_new_text") == ""), col("_t")).otherwise(col("_new_text")))
-        .withColumn("suggested_code", F.when(cutoff | (col("_new_code") == ""), col("_k")).otherwise(col("_new_code")))
-        .withColumn("suggested_brand", col("_b"))
-    )
-    changed = (col("suggested_description") != col("_t")) | (
-        (col("suggested_code") != col("_k")) & (col("suggested_code") != "")
-    )
-    found = F.array_compact(
-        F.array(
-            F.when(header, fv.ISSUE_HEADER),
-            F.when(embedded, fv.ISSUE_CODE),
-            F.when(tariff, fv.ISSUE_TARIFF),
-            F.when(ending, fv.ISSUE_ENDING),
+    def conclude(j: Column) -> Column:
+        changed = (j["name"] != j["t"]) | ((j["product"] != j["k"]) & (j["product"] != ""))
+        issues = F.when((F.size(j["found"]) == 0) & changed, F.array(F.lit(fv.ISSUE_FORMAT))).otherwise(j["found"])
+        strong = F.arrays_overlap(j["found"], F.array(F.lit(fv.ISSUE_CODE), F.lit(fv.ISSUE_HEADER), F.lit(fv.ISSUE_TARIFF)))
+        clean = (F.size(j["found"]) == 0) & ~changed
+        confidence = F.when(j["cutoff"], "cutoff").when(clean, "none").when(strong, "high").otherwise("medium")
+        return F.struct(
+            issues.alias("issues"), clean.alias("is_clean"), j["name"].alias("suggested_description"),
+            j["product"].alias("suggested_code"), j["b"].alias("suggested_brand"),
+            confidence.alias("audit_confidence"), j["cutoff"].alias("needs_source"),
         )
+
+    inputs = F.struct(trimmed(text).alias("t"), trimmed(brand).alias("b"), trimmed(code).alias("k"))
+    with_split = let(
+        inputs,
+        lambda i: F.struct(i["t"].alias("t"), i["b"].alias("b"), i["k"].alias("k"), observation(i["t"], i["b"]).alias("new")),
     )
-    df = df.withColumn("_changed", changed).withColumn("_found", found)
-    issues = (
-        F.when(col("needs_source"), F.array(F.lit(fv.ISSUE_CUTOFF)))
-        .when((F.size("_found") == 0) & col("_changed"), F.array(F.lit(fv.ISSUE_FORMAT)))
-        .otherwise(col("_found"))
-    )
-    df = df.withColumn("issues", issues)
-    strong = F.arrays_overlap("issues", F.array(F.lit(fv.ISSUE_CODE), F.lit(fv.ISSUE_HEADER), F.lit(fv.ISSUE_TARIFF)))
-    confidence = (
-        F.when(col("needs_source"), "cutoff")
-        .when(F.size("issues") == 0, "none")
-        .when(strong, "high")
-        .otherwise("medium")
-    )
-    return (
-        df.withColumn("audit_confidence", confidence)
-        .withColumn("is_clean", F.size("issues") == 0)
-        .drop("_t", "_b", "_k", "_new_code", "_new_text", "_changed", "_found")
-    )
+    return let(let(with_split, judge), conclude)
+
+
+DIAGNOSIS_COLUMNS = [
+    "issues", "is_clean", "suggested_description", "suggested_code", "suggested_brand", "audit_confidence", "needs_source",
+]
+
+
+def diagnose(df: DataFrame, text: str = "description", brand: str = "brand", code: str = "product_code") -> DataFrame:
+    """Add the parts of the diagnosis of a goods line as columns."""
+    df = df.withColumn("_diag", diagnosis(text, brand, code))
+    for name in DIAGNOSIS_COLUMNS:
+        df = df.withColumn(name, F.col("_diag")[name])
+    return df.drop("_diag")
 
 
 def variant_name(text, brand=None) -> Column:

@@ -116,3 +116,56 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(supp % 11 == 0, "").otherwise(F.concat(F.lit("NATION_"), (supp % 25).cast("string"))).alias("origin"),
         (line + 1).alias("page"),
     )
+
+
+def flawed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Goods lines whose description carries one of eight flaws, by key.
+
+    ``true_name`` is the text a repair should lead back to.
+    """
+    lines = read_table(spark, sf_dir, "lineitem")
+    parts = read_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
+    df = lines.join(parts, "l_partkey")
+    kind = (F.col("l_partkey") + F.col("l_suppkey")) % 9
+    name, part = F.upper("p_name"), F.col("l_partkey").cast("string")
+    brand = F.when((F.col("l_returnflag") == "A") & (F.col("l_quantity") == 1), "").when(F.col("l_linenumber") != 7, F.col("p_brand"))
+    shown_brand = F.coalesce(F.nullif(brand, F.lit("")), F.lit("XX"))
+    text = (
+        F.when(kind == 1, F.concat(name, F.lit(" - REF. SM-S"), part, F.lit("B")))
+        .when(kind == 2, F.concat(F.lit("HOJA 4 de 12 FECHA OFIC: 10/08/2026 "), name))
+        .when(kind == 3, F.concat(F.lit("LOS DEMAS EN: 7.000 UNIDADES "), name))
+        .when(kind == 4, F.concat(name, F.lit(" - .")))
+        .when(kind == 5, F.format_string("Subítem %d - Posición %d", F.col("l_linenumber"), F.lit(8517)))
+        .when(kind == 6, F.concat(F.lit("COD: X"), part, F.lit("7 - "), name))
+        .when(kind == 7, F.concat(name, F.lit(" "), (F.col("l_partkey") + F.lit(7840000000000)).cast("string")))
+        .when(kind == 8, F.concat(shown_brand, F.lit(" - "), name))
+        .otherwise(name)
+    )
+    return df.select(
+        line_key().alias("id"),
+        F.col("l_orderkey").alias("dispatch_id"),
+        F.col("l_linenumber").alias("item_no"),
+        F.when(F.col("l_linenumber") % 3 != 0, (F.col("l_suppkey") % 4 + 1).cast("int")).alias("subitem_no"),
+        brand.alias("brand"),
+        F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("K"), part)).alias("product_code"),
+        text.alias("description"),
+        name.alias("true_name"),
+        kind.cast("int").alias("flaw"),
+    )
+
+
+def items_with_brand_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Goods lines whose brand is written in one of three ways."""
+    lines = read_table(spark, sf_dir, "lineitem")
+    parts = read_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
+    number = F.regexp_extract("p_brand", r"#(\d+)", 1)
+    line = F.col("l_linenumber")
+    brand = (
+        F.when(line % 3 == 0, F.concat(F.lit("Brand#"), number))
+        .when(line % 3 == 1, F.concat(F.lit("Brand #"), number))
+        .otherwise(F.concat(F.lit("BRAND-"), number, F.lit(" Inc.")))
+    )
+    return lines.join(parts, "l_partkey").select(
+        line_key().alias("id"), F.col("l_orderkey").alias("dispatch_id"), brand.alias("brand"),
+        F.upper("p_name").alias("description"), F.col("l_extendedprice").alias("total_value"),
+    )
