@@ -151,9 +151,9 @@ def contains_any(columns, q: str, wildcards: bool = False) -> Column:
     return functools.reduce(lambda a, b: a | b, [contains_text(c, q, wildcards) for c in columns])
 
 
-def document_type(first_page) -> Column:
+def document_type(first_page, is_upper: bool = False) -> Column:
     """Kind of customs document, from words on its first page."""
-    text = F.upper(as_column(first_page))
+    text = as_column(first_page) if is_upper else F.upper(as_column(first_page))
 
     def has(*words):
         return functools.reduce(lambda a, b: a | b, [text.contains(w) for w in words])

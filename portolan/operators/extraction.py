@@ -17,8 +17,8 @@ from portolan.functions import numbers
 from portolan.functions.dates import parse_date
 from portolan.functions.goods import let, observation
 from portolan.functions.text import (
-    LINE_BREAK, RX, RX_DOTALL, RX_LINES, blank_to_null, clean_text, normalize_company, normalize_currency_code,
-    normalize_document, strip, zero_to_null,
+    LINE_BREAK, RX, RX_DOTALL, RX_LINES, blank_to_null, clean_text, document_type, normalize_company,
+    normalize_currency_code, normalize_document, strip, zero_to_null,
 )
 
 # An amount text that can be read as a number (see numbers.parse_currency).
@@ -107,11 +107,25 @@ def extract_fields(pages: DataFrame) -> DataFrame:
     """One row per document with one record per header field (NULL if not found).
 
     A record holds page, pattern rank, raw value, source text and method.  Each
-    page is read once for all fields; the earliest page of a document wins.
+    page is read once for all fields; the earliest page of a document wins.  The
+    same pass gives the kind of document, how it was read and its page count.
     """
     searched = pages.withColumn("_upper", F.upper("text"))
-    per_page = searched.select("doc_id", *[_first_on_page(f).alias(f) for f in fv.FIELD_PATTERNS])
-    return per_page.groupBy("doc_id").agg(*[F.min(f).alias(f) for f in fv.FIELD_PATTERNS])
+    per_page = searched.select(
+        "doc_id",
+        F.col("page_num").alias("_page"),
+        (F.upper("method") == "OCR").cast("int").alias("_ocr"),
+        document_type(F.col("_upper"), is_upper=True).alias("_type"),
+        *[_first_on_page(f).alias(f) for f in fv.FIELD_PATTERNS],
+    )
+    ocr = F.coalesce(F.sum("_ocr"), F.lit(0))
+    method = F.when(ocr == F.count("*"), "OCR").when(ocr > 0, "MIXTO").otherwise("DIGITAL_TEXT")
+    return per_page.groupBy("doc_id").agg(
+        *[F.min(f).alias(f) for f in fv.FIELD_PATTERNS],
+        F.min(F.struct("_page", "_type"))["_type"].alias("doc_type"),
+        method.alias("extraction_method"),
+        F.count("*").cast("int").alias("page_count"),
+    )
 
 
 def field_records(fields: DataFrame) -> DataFrame:
@@ -138,7 +152,7 @@ def field_records(fields: DataFrame) -> DataFrame:
 def fields_to_header(fields: DataFrame) -> DataFrame:
     """Typed header columns, provenance map and extraction confidence."""
     values = fields.select(
-        "doc_id",
+        "doc_id", "doc_type", "extraction_method", "page_count",
         *[normalize_field(F.col(f)["raw"], kind).alias(f) for f, (kind, _) in fv.FIELD_PATTERNS.items()],
         *[F.col(f).alias(f"_{f}") for f in fv.FIELD_PATTERNS],
     )
