@@ -9,6 +9,9 @@ limit are refused first, which bounds that row.
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,10 +85,23 @@ def _usable(raw: Column, kind: str) -> Column:
     return normalize_field(raw, kind).isNotNull()
 
 
+# Unicode spaces, which the quick test below reads as blanks.
+_WIDE_SPACES = "".join(chr(c) for c in [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
+def _quick_pattern(pattern: str) -> str:
+    """The pattern for upper-cased text; case only matters where it has small letters."""
+    small = re.sub(r"\\.|\[[^\]]*\]|\(\?.", lambda m: "o" if "ºo" in m.group(0) else "", pattern)
+    return ("(?imd)" if re.search("[a-z]", small) else "(?md)") + pattern
+
+
+@functools.cache
 def _first_on_page(field: str) -> Column:
     """First pattern of a field whose value can be read on this page.
 
-    A page is searched only if it contains a word the pattern cannot do without.
+    A pattern is tried in three steps of growing cost: a word it cannot do
+    without, the pattern on the upper-cased text, and the extraction itself.
+    Later patterns are tried only if the earlier ones gave nothing.
     """
     kind, patterns = fv.FIELD_PATTERNS[field]
     candidates = []
@@ -98,9 +114,9 @@ def _first_on_page(field: str) -> Column:
             strip(F.regexp_extract("text", regex, 0)).alias("source"),
             F.coalesce("method", F.lit("TEXT")).alias("method"),
         )
-        candidates.append(F.when(F.col("_upper").contains(word) & F.col("text").rlike(regex), found))
-    usable = F.filter(F.array(*candidates), lambda c: c.isNotNull() & _usable(c["raw"], kind))
-    return F.get(usable, F.lit(0))
+        quick = F.col("_upper").contains(word) & F.col("_upper").rlike(_quick_pattern(pattern))
+        candidates.append(let(F.when(quick, found), lambda c: F.when((c["raw"] != "") & _usable(c["raw"], kind), c)))
+    return F.coalesce(*candidates)
 
 
 def extract_fields(pages: DataFrame) -> DataFrame:
@@ -110,7 +126,7 @@ def extract_fields(pages: DataFrame) -> DataFrame:
     page is read once for all fields; the earliest page of a document wins.  The
     same pass gives the kind of document, how it was read and its page count.
     """
-    searched = pages.withColumn("_upper", F.upper("text"))
+    searched = pages.withColumn("_upper", F.translate(F.upper("text"), _WIDE_SPACES, " " * len(_WIDE_SPACES)))
     per_page = searched.select(
         "doc_id",
         F.col("page_num").alias("_page"),
@@ -539,6 +555,12 @@ def _rescue_items(pages: Column) -> Column:
 _LAYOUTS = {"subitems": _subitems, "grid": _grid_items, "standard": _standard_items, "codes": _rescue_items}
 
 
+@functools.cache
+def _document_items(layouts: tuple[str, ...]) -> Column:
+    """The goods lines of a document row; an expression by name, built once per process."""
+    return _first_layout_with_items(F.col("pages"), layouts)
+
+
 def _first_layout_with_items(pages: Column, layouts) -> Column:
     """The goods lines of the first layout that yields any; later ones are not tried."""
     name, *rest = layouts
@@ -555,7 +577,7 @@ def extract_items(pages: DataFrame, layouts=tuple(_LAYOUTS), max_mb: int = fv.MA
     including the running page count, keeps that partitioning.
     """
     docs = documents(pages, max_mb)
-    found = docs.select("doc_id", F.transform("pages", lambda p: p["page_num"]).alias("_pages"), _first_layout_with_items(F.col("pages"), list(layouts)).alias("_items"))
+    found = docs.select("doc_id", F.transform("pages", lambda p: p["page_num"]).alias("_pages"), _document_items(tuple(layouts)).alias("_items"))
     rows = found.select("doc_id", "_pages", F.posexplode("_items").alias("seq", "i")).select("doc_id", "_pages", "seq", "i.*")
 
     from pyspark.sql import Window

@@ -1,6 +1,6 @@
 """Every registered query with its oracle."""
 
-from portolan.queries import documents, goods_quality, registry, relational  # noqa: F401
+from portolan.queries import documents, goods_quality, imports, registry, relational  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES

@@ -18,13 +18,13 @@ TODAY = "2001-01-15"
 _GOODS = """
 , goods AS (
   SELECT l_orderkey AS doc_id, l_linenumber AS line, CAST(l_suppkey % 4 + 1 AS INTEGER) AS sub, items.hs_code AS hs,
-    CAST(l_quantity AS BIGINT) AS qty, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
+    CAST(l_quantity AS BIGINT) AS qty, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_extendedprice AS l_value,
     CASE WHEN l_linenumber <> 7 AND NOT (l_returnflag = 'A' AND l_quantity = 1) THEN replace(upper(p_brand), '#', '') END AS brand,
     CAST(7840000000000 + l_partkey AS VARCHAR) AS ean, upper(p_name) AS name, CAST(l_linenumber + 1 AS INTEGER) AS page
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN items ON items.id =
     concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))),
 priced AS (
-  SELECT *, CAST(cents AS DOUBLE) / 100 AS total_value, CAST((2 * cents + qty) // (2 * qty) AS DOUBLE) / 100 AS per_unit FROM goods),
+  SELECT *, CAST(cents AS DOUBLE) / 100 AS total_value, CAST(round(CAST(CAST(l_value / qty AS VARCHAR) AS DECIMAL(38,20)), 2) AS DOUBLE) AS per_unit FROM goods),
 subitems AS (
   SELECT doc_id, 1 AS tier, line AS item_no, sub AS subitem_no, coalesce(hs, 'S') AS hs_code, ean AS product_code,
     name AS description, coalesce(brand, 'Sin Marca') AS brand, CAST(qty AS DOUBLE) AS quantity, CAST(NULL AS DOUBLE) AS net_weight,

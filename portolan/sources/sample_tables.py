@@ -169,3 +169,93 @@ def items_with_brand_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
         line_key().alias("id"), F.col("l_orderkey").alias("dispatch_id"), brand.alias("brand"),
         F.upper("p_name").alias("description"), F.col("l_extendedprice").alias("total_value"),
     )
+
+
+def _row_idx() -> Column:
+    """Place of an order line in a file: order, line number, then all columns."""
+    from pyspark.sql import Window
+
+    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
+    return F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.row_number().over(same)
+
+
+def client_sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Client price sheets in three layouts, with captions, footers and free samples."""
+    lines = read_table(spark, sf_dir, "lineitem")
+    parts = read_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
+    part, kind = F.col("l_partkey"), F.col("l_suppkey") % 3
+    price = part % 5000 + 1
+    units, rest = F.floor(price / 100).cast("string"), F.lpad((price % 100).cast("string"), 2, "0")
+    free = part % 17 == 0
+    qty = F.col("l_quantity").cast("int").cast("string")
+    name = F.upper("p_name")
+    a = F.array(
+        (part + F.lit(7840000000000)).cast("string"), name, F.col("p_brand"), qty, F.lit("1,5"),
+        F.when(free, "0").otherwise(F.concat_ws(",", units, rest)), F.lit(""),
+    )
+    b = F.array(
+        F.concat(part.cast("string"), F.lit(".0")), F.when(part % 2 == 0, F.concat(name, F.lit(" LATTAFA"))).otherwise(name),
+        F.concat(qty, F.lit(",00")), F.when(free, "-").otherwise(F.concat(F.lit("R$ "), units, F.lit("."), rest)),
+        F.when(free, "0.00").otherwise("5.00"), F.lit("ok"),
+    )
+    c = F.array(
+        F.concat(name, F.lit(" HP")), F.concat(qty, F.lit(".0")),
+        F.when(free, "0").otherwise(F.concat(F.lit("$"), units, F.lit("."), rest)), F.concat(F.lit("K"), part.cast("string")),
+    )
+    body = lines.join(parts, "l_partkey").select(
+        F.concat(F.lit("sheet-"), (F.col("l_suppkey") % 21).cast("string")).alias("file_id"),
+        (_row_idx() + 10).alias("row_idx"),
+        F.when(kind == 0, a).when(kind == 1, b).otherwise(c).alias("cells"),
+    )
+    files = lines.select((F.col("l_suppkey") % 21).alias("n")).distinct()
+    titles = (
+        F.when(F.col("n") % 3 == 0, F.array(*[F.lit(t) for t in (
+            "Item", "Descripción Mercadería", "Marca", "Cantidad", "Peso kg", "Precio Unit.", "Total")]))
+        .when(F.col("n") % 3 == 1, F.array(*[F.lit(t) for t in (
+            "Código", "Descrição da Mercadoria", "Quantidade", "Valor Unitário", "Valor Total", "Observação")]))
+        .otherwise(F.array(*[F.lit(t) for t in ("Description", "Qty", "Unit Price", "SKU")]))
+    )
+    caption = F.array(*[F.lit("")] * 7, F.lit("Proforma 2024"))
+    footer = F.when(F.col("n") % 3 == 2, F.array(F.lit("Total"), F.lit("99"), F.lit("10.00"))).otherwise(
+        F.array(F.lit(""), F.lit("TOTAL: USD"), F.lit("7"), F.lit("7"), F.lit("7"), F.lit("7"), F.lit("7")))
+    frame = files.select(
+        F.concat(F.lit("sheet-"), F.col("n").cast("string")).alias("file_id"),
+        F.inline(F.array(
+            F.struct(F.lit(0).cast("bigint").alias("row_idx"), caption.alias("cells")),
+            F.struct(F.lit(1).cast("bigint").alias("row_idx"), titles.alias("cells")),
+            F.struct(F.lit(9000000000000000).alias("row_idx"), footer.alias("cells")),
+        )),
+    )
+    return body.unionByName(frame)
+
+
+def historical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a historical workbook whose keys are only given on some lines."""
+    lines = read_table(spark, sf_dir, "lineitem")
+    parts = read_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
+    orders = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("day"), "o_custkey"
+    )
+    key, part = F.col("l_orderkey"), F.col("l_partkey")
+    keyed = F.col("l_linenumber") <= 2
+    shown = (
+        F.when(key % 3 == 0, F.date_format("day", "dd/MM/yyyy"))
+        .when(key % 3 == 1, F.datediff("day", F.lit("1899-12-30").cast("date")).cast("string"))
+        .otherwise(F.date_format("day", "yyyy-MM-dd"))
+    )
+    return lines.join(parts, "l_partkey").join(orders, "l_orderkey").select(
+        F.lit("workbook").alias("file_id"),
+        _row_idx().alias("row_idx"),
+        F.when(keyed, shown).alias("date_text"),
+        F.when(keyed, F.format_string(" H%07d ", F.floor(key / 2))).alias("number_text"),
+        F.when(keyed, F.concat(F.lit("casa  "), (F.col("o_custkey") % 97).cast("string"))).alias("importer_text"),
+        F.concat(F.lit("1,0"), F.lpad(F.col("l_quantity").cast("int").cast("string"), 2, "0")).alias("quantity_text"),
+        (part % 50 + 1).cast("string").alias("unit_text"),
+        F.when(part % 3 == 0, "0").otherwise(F.format_string("%d.25", part)).alias("total_text"),
+        F.when(part % 7 == 0, "nan").otherwise("3303.00").alias("hs_text"),
+        F.when(part % 5 == 0, "None").otherwise(F.col("p_brand")).alias("brand_text"),
+        F.when(part % 4 == 0, F.format_string("%s %d", F.upper("p_name"), part + F.lit(7840000000000))).otherwise(F.upper("p_name")).alias("description_text"),
+        F.when(F.col("l_suppkey") % 6 == 0, "").otherwise(F.concat(F.lit("PAIS "), (F.col("l_suppkey") % 4).cast("string"))).alias("origin_text"),
+        F.when(part % 2 == 0, "10%").otherwise("0.05").alias("vat_text"),
+        F.when(part % 2 == 0, "6").otherwise("x").alias("duty_text"),
+    )
