@@ -82,9 +82,10 @@ def delimited_cells(spark, sf):
     key = F.col("p_partkey")
     sign = F.when(key % 3 == 0, ";").when(key % 3 == 1, "\t").otherwise(",")
     quoted = F.concat(F.lit('"'), F.col("p_brand"), F.lit(', ""x""; y"'))
-    text = F.concat(
-        F.concat_ws(sign, *[F.lit(t) for t in "abcde"]), F.lit("\r\n"), F.concat_ws(sign, F.lit(" "), F.lit(""), F.lit("")), F.lit("\n"),
-        F.concat_ws(sign, F.concat(F.lit(" "), F.upper("p_name")), quoted, F.col("p_size").cast("string")), F.lit("\n"))
+    titles = F.concat(F.lit("a"), sign, F.lit("b"), sign, F.lit("c"))
+    blank = F.concat(F.lit(" "), sign, sign)
+    row = F.concat(F.lit(" "), F.upper("p_name"), sign, quoted, sign, F.col("p_size").cast("string"))
+    text = F.concat(titles, F.lit("\r\n"), blank, F.lit("\n"), row, F.lit("\n"))
     cells = sheets.delimited_to_cells(part.select(key.alias("file_id"), text.alias("text")))
     body = cells.filter("row_idx = 2")
     return body.select("file_id", F.col("cells")[0].alias("name"), F.col("cells")[1].alias("quoted"), F.col("cells")[2].alias("size"))
@@ -104,8 +105,8 @@ firsts AS (SELECT number, date, arg_min(importer, first_row) AS importer FROM gr
 wanted AS (SELECT * FROM firsts WHERE CAST(substr(number, 2) AS BIGINT) % 5 <> 0),
 history AS (
   SELECT u.*, CAST(row_number() OVER (PARTITION BY u.number, u.date, u.importer ORDER BY row_idx) AS INTEGER) AS item_no,
-    CAST(100 + l_quantity AS DOUBLE) AS quantity, CAST(l_partkey % 50 + 1 AS DOUBLE) AS unit_value,
-    CASE WHEN l_partkey % 3 = 0 THEN (100 + l_quantity) * (l_partkey % 50 + 1) ELSE CAST(l_partkey AS DOUBLE) + CAST(0.25 AS DOUBLE) END AS total_value
+    CAST(1000 + l_quantity AS DOUBLE) AS quantity, CAST(l_partkey % 50 + 1 AS DOUBLE) AS unit_value,
+    CASE WHEN l_partkey % 3 = 0 THEN (1000 + l_quantity) * (l_partkey % 50 + 1) ELSE CAST(l_partkey AS DOUBLE) + CAST(0.25 AS DOUBLE) END AS total_value
   FROM usable u JOIN wanted w ON u.number = w.number AND u.date = w.date AND u.importer = w.importer)
 """
 
