@@ -13,6 +13,7 @@ from portolan.operators import extraction as ex
 from portolan.operators.aggregates import items_value_sum
 from portolan.operators.brands import apply_brand_rules
 from portolan.operators.joins import check_duplicates
+from portolan.session import cut_lineage
 
 
 def validate_upload(files: DataFrame, max_mb: int = fv.MAX_UPLOAD_MB) -> DataFrame:
@@ -68,8 +69,9 @@ def process_documents(
     accepted = checked.filter(wanted)
     own_pages = pages.join(accepted.select("doc_id"), "doc_id", "left_semi")
 
-    fields = ex.fields_to_header(ex.extract_fields(own_pages))
-    found = ex.extract_items(own_pages)
+    # The texts are searched once each; what was found is small and used by all outputs.
+    fields = cut_lineage(ex.fields_to_header(ex.extract_fields(own_pages)))
+    found = cut_lineage(ex.extract_items(own_pages))
     items = found.unionByName(ex.representative_items(fields, found))
 
     facts = accepted.select("doc_id", "file_name", "file_hash", "duplicate_reason", duplicate.alias("is_duplicate"))
