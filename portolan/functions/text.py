@@ -12,7 +12,6 @@ from portolan import fixed_values as fv
 
 # What counts as white space in source documents (ASCII and the Unicode spaces).
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]"
 
 # Regex flags: ignore case with Unicode folding, "\n" as the only line end and
 # Unicode classes, so that \b and \s mean the same on every Java version.

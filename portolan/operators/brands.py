@@ -287,7 +287,9 @@ def facet_hierarchy(items: DataFrame, labels: DataFrame, brand: str | None = Non
         items = items.filter(F.col("brand") == brand.strip())
         labels = labels.filter(F.lower("brand") == brand.strip().lower())
     found = family_variant_counts(items).withColumn("is_custom", F.lit(False))
-    brands = found.select(F.col("brand").alias("_brand"), F.lower("brand").alias("_key")).distinct()
+    brands = items.filter(non_blank("brand") & non_blank("description")).select(
+        F.col("brand").alias("_brand"), F.lower("brand").alias("_key")
+    ).distinct()
     family = F.coalesce(
         blank_to_null(title_case(strip("family"))), family_variant(strip("clean_name"))["family"]
     )

@@ -20,7 +20,7 @@ from portolan.functions import numbers
 from portolan.functions.dates import parse_date
 from portolan.functions.goods import let, observation
 from portolan.functions.text import (
-    LINE_BREAK, RX, RX_DOTALL, RX_LINES, blank_to_null, clean_text, document_type, normalize_company,
+    RX, RX_DOTALL, RX_LINES, SPACE, blank_to_null, clean_text, document_type, normalize_company,
     normalize_currency_code, normalize_document, strip, zero_to_null,
 )
 
@@ -95,28 +95,37 @@ def _quick_pattern(pattern: str) -> str:
     return ("(?imd)" if re.search("[a-z]", small) else "(?md)") + pattern
 
 
-@functools.cache
-def _first_on_page(field: str) -> Column:
-    """First pattern of a field whose value can be read on this page.
+def _candidate(kind: str, rank: int, word: str, pattern: str) -> Column:
+    """The record of one pattern on a page, NULL where it finds nothing usable.
 
-    A pattern is tried in three steps of growing cost: a word it cannot do
-    without, the pattern on the upper-cased text, and the extraction itself.
-    Later patterns are tried only if the earlier ones gave nothing.
+    Three steps of growing cost: a word the pattern cannot do without, the
+    pattern on the upper-cased text, and the extraction itself.
     """
-    kind, patterns = fv.FIELD_PATTERNS[field]
-    candidates = []
-    for rank, (word, pattern) in enumerate(patterns):
-        regex = RX_LINES + pattern
-        found = F.struct(
+    regex = RX_LINES + pattern
+    quick = F.col("_upper").contains(word) & F.col("_upper").rlike(_quick_pattern(pattern))
+
+    def read(source: Column) -> Column:
+        # The value is read from the match itself; the added line end stands for
+        # the text a look-ahead saw behind it.
+        record = F.struct(
             F.col("page_num").alias("page"),
             F.lit(rank).alias("rank"),
-            strip(F.regexp_extract("text", regex, 1)).alias("raw"),
-            strip(F.regexp_extract("text", regex, 0)).alias("source"),
+            strip(F.regexp_extract(F.concat(source, F.lit("\n")), regex, 1)).alias("raw"),
+            strip(source).alias("source"),
             F.coalesce("method", F.lit("TEXT")).alias("method"),
         )
-        quick = F.col("_upper").contains(word) & F.col("_upper").rlike(_quick_pattern(pattern))
-        candidates.append(let(F.when(quick, found), lambda c: F.when((c["raw"] != "") & _usable(c["raw"], kind), c)))
-    return F.coalesce(*candidates)
+        return F.when(source.isNotNull(), record)
+
+    source = F.when(quick, blank_to_null(F.regexp_extract("text", regex, 0)))
+    return let(let(source, read), lambda c: F.when((c["raw"] != "") & _usable(c["raw"], kind), c))
+
+
+@functools.cache
+def _first_on_page(field: str) -> Column:
+    """First pattern of a field whose value can be read on this page; later
+    patterns are tried only if the earlier ones gave nothing."""
+    kind, patterns = fv.FIELD_PATTERNS[field]
+    return F.coalesce(*[_candidate(kind, rank, word, pattern) for rank, (word, pattern) in enumerate(patterns)])
 
 
 def extract_fields(pages: DataFrame) -> DataFrame:
@@ -215,21 +224,37 @@ def extraction_confidence(records: DataFrame) -> DataFrame:
 _PAGE_SIGN = "\f"
 
 
+# A run of white space that holds a line end, taken as a whole.
+_NO_BREAK = r"[ \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+_ANY_BREAK = r"[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]"
+_BREAK_RUN = f"(?<!{SPACE}){_NO_BREAK}*+{_ANY_BREAK}{SPACE}*+"
+
+
+def goods_text(text: Column) -> Column:
+    """A page as trimmed lines, without blank lines and page headers."""
+    lines = strip(F.regexp_replace(text, _BREAK_RUN, "\n"))
+    starts = "(?md)^(?:" + "|".join(s.replace(".", r"\.") for s in fv.PAGE_HEADER_STARTS) + r").*\n?"
+    return F.regexp_replace(F.regexp_replace(lines, starts, ""), r"\n$", "")
+
+
 def goods_text_lines(text: Column) -> Column:
-    """Trimmed lines of a page without blank lines and page headers."""
-    lines = F.transform(F.split(text, LINE_BREAK), strip)
-    starts = "^(?:" + "|".join(s.replace(".", r"\.") for s in fv.PAGE_HEADER_STARTS) + ")"
-    return F.filter(lines, lambda line: (line != "") & ~line.rlike(starts))
+    return F.filter(F.split(goods_text(text), "\n"), lambda line: line != "")
 
 
 def drop_page_headers(pages: DataFrame) -> DataFrame:
     """Pages reduced to the lines that can belong to goods."""
-    return pages.withColumn("text", F.array_join(goods_text_lines(F.col("text")), "\n"))
+    return pages.withColumn("text", goods_text(F.col("text")))
 
 
-def documents(pages: DataFrame, max_mb: int = fv.MAX_UPLOAD_MB) -> DataFrame:
-    """One row per document with its pages in order; larger files are left out."""
-    allowed = pages.join(oversized_documents(pages, max_mb).select("doc_id"), "doc_id", "left_anti")
+def documents(pages: DataFrame, max_mb: int | None = fv.MAX_UPLOAD_MB) -> DataFrame:
+    """One row per document with its pages in order; larger files are left out.
+
+    Pass None only for pages of files whose size was checked at upload: it saves
+    the pass that adds up the sizes.
+    """
+    allowed = pages
+    if max_mb is not None:
+        allowed = pages.join(oversized_documents(pages, max_mb).select("doc_id"), "doc_id", "left_anti")
     page = F.struct("page_num", F.coalesce("text", F.lit("")).alias("text"))
     return allowed.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
 
@@ -267,7 +292,7 @@ def _count_signs(text: Column) -> Column:
 
 def _subitems(pages: Column) -> Column:
     """Layout 1: sub-item records over the joined text of all pages."""
-    cleaned = F.transform(pages, lambda p: F.array_join(goods_text_lines(p["text"]), "\n"))
+    cleaned = F.transform(pages, lambda p: goods_text(p["text"]))
     whole = F.array_join(cleaned, "\n" + _PAGE_SIGN)
     regex = RX_DOTALL + fv.SUBITEM_PATTERN
 
@@ -292,8 +317,9 @@ def _subitems(pages: Column) -> Column:
         pairs = let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), zipped)
         return F.transform(pairs, one)
 
-    found = let(whole, lambda t: F.when(F.upper(t).contains("POS.ARANC."), records(t)))
-    return found
+    # The tariff label has no blank in it, so some page must contain it as a whole.
+    possible = F.exists(pages, lambda p: F.upper(p["text"]).contains("POS.ARANC."))
+    return F.when(possible, let(whole, records))
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -492,7 +518,9 @@ def _grid_items(pages: Column) -> Column:
 
         return let(heads, read)
 
-    return let(lines, blocks)
+    # Cheap test for a line that could start a block.
+    possible = F.exists(pages, lambda p: p["text"].rlike(r"(?md)^\s*\d{1,3}\s*/\s*\d"))
+    return F.when(possible, let(lines, blocks))
 
 
 def _standard_items(pages: Column) -> Column:
@@ -570,7 +598,7 @@ def _first_layout_with_items(pages: Column, layouts) -> Column:
     return let(found, lambda items: F.when(F.size(items) > 0, items).otherwise(_first_layout_with_items(pages, rest)))
 
 
-def extract_items(pages: DataFrame, layouts=tuple(_LAYOUTS), max_mb: int = fv.MAX_UPLOAD_MB) -> DataFrame:
+def extract_items(pages: DataFrame, layouts=tuple(_LAYOUTS), max_mb: int | None = fv.MAX_UPLOAD_MB) -> DataFrame:
     """Goods lines of all documents, each read in the first layout that fits it.
 
     One exchange brings the pages of a document together; everything behind it,

@@ -69,9 +69,9 @@ def process_documents(
     accepted = checked.filter(wanted)
     own_pages = pages.join(accepted.select("doc_id"), "doc_id", "left_semi")
 
-    # The texts are searched once each; what was found is small and used by all outputs.
+    # Accepted files are within the size limit.  The texts are searched once each; what was found is small and used by all outputs.
     fields = cut_lineage(ex.fields_to_header(ex.extract_fields(own_pages)))
-    found = cut_lineage(ex.extract_items(own_pages))
+    found = cut_lineage(ex.extract_items(own_pages, max_mb=None))
     items = found.unionByName(ex.representative_items(fields, found))
 
     facts = accepted.select("doc_id", "file_name", "file_hash", "duplicate_reason", duplicate.alias("is_duplicate"))

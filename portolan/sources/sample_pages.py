@@ -151,5 +151,8 @@ def goods_pages(spark: SparkSession, sf_dir: str, layout: str | None = None) ->
 
 
 def document_pages(spark: SparkSession, sf_dir: str, layout: str | None = None) -> DataFrame:
-    """All pages of all sample declarations."""
-    return header_pages(spark, sf_dir).unionByName(goods_pages(spark, sf_dir, layout))
+    """All pages of all sample declarations, laid out by document like a stored pages table.
+
+    The extraction groups by document too, so it needs no exchange of its own.
+    """
+    return header_pages(spark, sf_dir).unionByName(goods_pages(spark, sf_dir, layout)).repartition("doc_id")
