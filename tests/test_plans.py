@@ -8,6 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "4000")
     return df._jdf.queryExecution().executedPlan().toString()
 
 
