@@ -44,10 +44,9 @@ def dispatch_search_export(spark, sf):
 
 
 @query("dispatch_search_wildcards", with_tables(f"""
-SELECT {_HEADER_SQL} FROM dispatches WHERE importer ILIKE '%omer#00%5_'"""))
+SELECT {_HEADER_SQL} FROM dispatches WHERE importer ILIKE '%omer#00%5_%'"""))
 def dispatch_search_wildcards(spark, sf):
-    return _header(search.search_dispatches(st.dispatches(spark, sf), importer="omer#00%5_", wildcards=True)
-                   .filter(F.col("importer").rlike("5.$")))
+    return _header(search.search_dispatches(st.dispatches(spark, sf), importer="omer#00%5_", wildcards=True))
 
 
 @query("catalog_search", with_tables(f"""
