@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import fingerprints, jaccard, packing, tokens
+from portolan.llm import ego, fingerprints, jaccard, packing, tokens
 from portolan.llm.registry import query
 from portolan.llm.shared import read
 
@@ -56,3 +56,22 @@ SELECT s.doc_id, len(s.s) AS n_shingles, min(r.other) AS component_id FROM s JOI
 @query("op9_ngram_jaccard", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+WITH RECURSIVE
+e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND list_aggregate(list_transform(v, lambda x: abs(x)), 'max') > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u AS x JOIN u AS y ON x.label = y.label AND len(x.v) = len(y.v) AND x.vec_id <> y.vec_id
+      WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+r(vec_id, other) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.other = l.a),
+c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n.n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
+@query("op7_epsilon_grid_join", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.near_vectors(read(spark, sf_dir, "embeddings"))
