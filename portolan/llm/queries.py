@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import ego, fingerprints, jaccard, packing, tokens
+from portolan.llm import ego, fingerprints, jaccard, packing, tokens, toxicity
 from portolan.llm.registry import query
 from portolan.llm.shared import read
 
@@ -75,3 +75,11 @@ SELECT c.vec_id, coalesce(n.n, 0) AS n_links, component_id, c.vec_id = component
 @query("op7_epsilon_grid_join", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query("op1_compression_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = read(spark, sf_dir, "documents"), toxicity.learnt_rows(5, 0)
+    model = toxicity.trained(docs, read(spark, sf_dir, "labels"), learn)
+    scores = toxicity.toxicity(docs, model)
+    return scores.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
