@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import ego, fingerprints, jaccard, packing, tokens, toxicity
+from portolan.llm import ego, fingerprints, jaccard, packing, pii, tokens, toxicity
 from portolan.llm.registry import query
 from portolan.llm.shared import read
 
@@ -83,3 +83,49 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.trained(docs, read(spark, sf_dir, "labels"), learn)
     scores = toxicity.toxicity(docs, model)
     return scores.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _op3_sql() -> str:
+    """The operator again in DuckDB: the same spans from the plain patterns, whose engine needs no guards against long searches."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[ -]?[0-9])+",
+        "phone": pii.PHONE, "run": "[0-9]+", "full": pii.FULL_PHONE, "local": pii.LOCAL_PHONE, "iban": pii.IBAN,
+    }
+    digits = "regexp_replace(x.v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(0, len({digits})), lambda i: CASE WHEN i % 2 = 0 THEN {digits}[len({digits}) - i]::INT WHEN {digits}[len({digits}) - i]::INT > 4 THEN {digits}[len({digits}) - i]::INT * 2 - 9 ELSE {digits}[len({digits}) - i]::INT * 2 END)) % 10 = 0"
+    turned = "(replace(x.v, ' ', '')[5:] || replace(x.v, ' ', '')[:4])"
+    mod_97 = f"list_reduce(list_prepend(0, list_transform(range(1, len({turned}) + 1), lambda i: ascii({turned}[i]))), lambda p, c: (CASE WHEN c < 65 THEN p * 10 + c - 48 ELSE p * 100 + c - 55 END) % 97) = 1"
+    apart = lambda chars: f"NOT regexp_matches(CASE WHEN x.s > 0 THEN substr(text, x.s::BIGINT, 1) ELSE '' END, '{chars}') AND NOT regexp_matches(substr(text, x.e::BIGINT + 1, 1), '{chars}')"
+    few = lambda low, high: f"len({digits}) BETWEEN {low} AND {high}"
+    checks = {
+        "email": "true", "ip": "len(list_filter(string_split(x.v, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS INT), 999) > 255)) = 0", "card": f"{few(13, 19)} AND {luhn}", "phone": few(9, 15),
+        "run": f"{few(13, 19)} AND {luhn}", "full": f"{few(9, 15)} AND {apart('[0-9]')}", "local": f"{few(9, 15)} AND {apart('[0-9+]')}", "iban": f"{apart('[A-Za-z0-9]')} AND {mod_97}",
+    }
+    kinds = {"email": ("email", "email"), "ip": ("ip", "ip"), "card": ("card", "card"), "phone": ("phone", "phone"), "run": ("card", "card"), "full": ("phone", "phone"), "local": ("phone", "local"), "iban": ("iban", "iban")}
+    steps, unions = [], []
+    for name, pattern in plain.items():
+        kind, prior = kinds[name]
+        near = f"regexp_matches(substr(text, greatest(s - {pii.CONTEXT_CHARS}, 0) + 1, s - greatest(s - {pii.CONTEXT_CHARS}, 0)), '{pii.CONTEXT[kind]}')"
+        steps.append(f"m_{name} AS (SELECT k, text, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM d WHERE regexp_matches(text, '{pattern}'))")
+        steps.append(f"p_{name} AS (SELECT k, text, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': coalesce(list_sum(list_transform(g[1:i], lambda y: len(y))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: len(y))), 0), 'v': m[i]}})) AS y FROM m_{name})")
+        steps.append(f"x_{name} AS (SELECT k, text, {{'s': y.s, 'e': y.s + len(y.v), 'v': y.v}} AS x FROM p_{name})")
+        steps.append(f"f_{name} AS (SELECT k, text, x.s::BIGINT AS s, x.e::BIGINT AS e FROM x_{name} WHERE {checks[name]})")
+        if name in pii.KINDS[:4]:
+            unions.append(f"SELECT k, '{kind}' AS kind, {pii.KINDS.index(kind)} AS o, s, e, true AS base FROM f_{name}")
+        else:
+            over = f" AND NOT EXISTS (SELECT 1 FROM f_{kind} AS b WHERE b.k = f_{name}.k AND b.s < f_{name}.e AND f_{name}.s < b.e)" if kind in pii.KINDS[:4] else ""
+            unions.append(f"SELECT k, '{kind}', {pii.KINDS.index(kind)}, s, e, false FROM f_{name} WHERE {pii.PRIOR[prior]} + CASE WHEN {near} THEN {pii.CONTEXT_GAIN} ELSE 0 END >= {pii.THRESHOLD}{over}")
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s, e)"
+    return (
+        "WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents), " + ", ".join(steps)
+        + ", a AS (" + " UNION ALL ".join(unions) + f"), r AS (SELECT k, {', '.join(f'count(*) FILTER (base AND o = {i}) AS n_{n}' for i, n in enumerate(pii.KINDS[:4]))}, {listed} FILTER (base) AS b, {listed} AS s FROM a GROUP BY k) "
+        + f"SELECT doc_id, {', '.join(f'coalesce(n_{n}, 0) AS n_{n}' for n in pii.KINDS[:4])}, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans FROM d LEFT JOIN r USING (k)"
+    )
+
+
+@query("op3_personal_data", _op3_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS[:4]]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(pii.printed(base).cast("binary"), 256).alias("base_sha256"), pii.printed(F.col("spans")).alias("spans"))
