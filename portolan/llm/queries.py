@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import ego, fingerprints, jaccard, packing, pii, tokens, toxicity
+from portolan.llm import ego, fingerprints, jaccard, packing, pii, quality, tokens, toxicity
 from portolan.llm.registry import query
 from portolan.llm.shared import read
 
@@ -129,3 +129,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["base"])
     counts = [F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS[:4]]  # noqa: B023
     return found.select("doc_id", *counts, F.sha2(pii.printed(base).cast("binary"), 256).alias("base_sha256"), pii.printed(F.col("spans")).alias("spans"))
+
+
+@query("op10_attention_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = read(spark, sf_dir, "documents"), toxicity.learnt_rows(4, 2)
+    model = quality.trained(docs, read(spark, sf_dir, "labels"), learn)
+    scores = quality.quality(docs, model)
+    return scores.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
