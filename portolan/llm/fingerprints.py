@@ -48,9 +48,17 @@ def _chunks(data: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(data, i * size + 1, size))
 
 
+def _bytes(text_col: str) -> Column:
+    return F.regexp_replace(filled(text_col), WHITE, " ").cast("binary")
+
+
+def text_sha256(text_col: str) -> Column:
+    """Hash of the normalised text, as in the result of ``exact_duplicates``."""
+    return F.sha2(_bytes(text_col), 256)
+
+
 def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.regexp_replace(filled(text_col), WHITE, " ")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.cast("binary").alias("data"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _bytes(text_col).alias("data"))
     return rows.select("doc_id", "data", F.sha2("data", 256).alias("text_sha256"), F.octet_length("data").cast("long").alias("n"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import ego, fingerprints, jaccard, packing, pii, quality, tokens, toxicity
+from portolan.llm import ego, fingerprints, hosts, jaccard, mixing, packing, pii, quality, tokens, toxicity
 from portolan.llm.registry import query
 from portolan.llm.shared import read
 
@@ -55,7 +55,7 @@ SELECT s.doc_id, len(s.s) AS n_shingles, min(r.other) AS component_id FROM s JOI
 
 @query("op9_ngram_jaccard", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents")).drop("row_key")
 
 
 OP7_SQL = """
@@ -137,3 +137,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.trained(docs, read(spark, sf_dir, "labels"), learn)
     scores = quality.quality(docs, model)
     return scores.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+#: Host, path and verdict of the url rules.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query("op5_link_trust")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: Wanted shares of tokens: most from good texts, few from poor and toxic ones.
+MIXTURE = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
+
+
+@query("op8_soft_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing.mixing_rates(read(spark, sf_dir, "documents"), mixing.domains_of(read(spark, sf_dir, "labels")), MIXTURE)
+    parts = [F.coalesce(F.col("posteriors")[d], F.lit(0.0)).alias(f"p_{d}") for d in MIXTURE]
+    return rates.select("doc_id", "tokens", "rate", *parts)

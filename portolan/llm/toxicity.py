@@ -14,6 +14,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -206,5 +207,18 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return mapped(docs.select(F.col(id_col).alias("doc_id"), filled(text_col).alias("text")), run, f"doc_id {kind}, score double")
 
 
+def ordinary(docs: DataFrame, model: Model, toxic_from: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``toxic_from``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(held.value)
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            yield batch.filter(pa.array([scorer.score(t or "") < toxic_from for t in texts], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trained(docs: DataFrame, labels: DataFrame, learn, limit: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> Model:
     return train(*labelled_sample(docs, labels, "toxic", learn, limit, chars))
