@@ -2,7 +2,7 @@
 
 The incidence of documents and n-grams is never multiplied out. Two sets can only reach the
 wanted similarity if they share one of the first few n-grams of each, in any fixed order; how
-many follows from the size. These entries are dealt into blocks of n-grams. The documents of
+many follows from the size, and where it stands in both bounds what else they share. These entries are dealt into blocks of n-grams. The documents of
 one n-gram are first compared with one of them only, which joins large groups of near copies
 in a linear number of comparisons. Then only n-grams whose documents are still in different
 groups are multiplied out, inside a task, and a pair leaves the task only when its sizes and
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portolan.llm.components import components
@@ -33,7 +33,8 @@ LIST_SALT = 50_000
 LIST_BLOCK = 2_048
 MEMBERS_PER_SALT = 500
 WORD_MEMO = 400_000
-ENTRY = np.dtype([("gram", "<u8"), ("set", "<u8"), ("n", "<u4")])
+#: n-gram, set, size of the set, and how many of its n-grams come from here on in the order, this one with them.
+ENTRY = np.dtype([("gram", "<u8"), ("set", "<u8"), ("n", "<u4"), ("rest", "<u4")])
 _MULTIPLIERS = np.random.default_rng(75).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -128,9 +129,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     return mapped(_texts(docs, id_col, text_col), run, f"doc_id {kind}, row_key bigint, n bigint, fp_a bigint, fp_b bigint, bits binary")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), filled(text_col))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = filled(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), filled(text_col).alias("text"))
 
 
 def _blocks(texts: DataFrame, words: int, percent: int, blocks: int, frequent) -> DataFrame:
@@ -182,6 +186,7 @@ def _blocks(texts: DataFrame, words: int, percent: int, blocks: int, frequent) -
                 chosen = prefix(grams)
                 entry = np.empty(len(chosen), dtype=ENTRY)
                 entry["gram"], entry["set"], entry["n"] = chosen, whole, len(grams)
+                entry["rest"] = len(grams) - np.arange(len(chosen))
                 rows.append(entry)
                 size += len(entry)
                 if size > ENTRIES_PER_FLUSH:
@@ -194,7 +199,7 @@ def _blocks(texts: DataFrame, words: int, percent: int, blocks: int, frequent) -
 
 
 def _lists(blocks: DataFrame) -> DataFrame:
-    """Per n-gram of a block with two or more sets: its first set ``a`` with each other set ``b``; gram, a, b, n, more (over two sets)."""
+    """Per n-gram of a block with two or more sets: its first set ``a`` with each set ``b``: sizes n_a, n; rest_a, rest as in ENTRY; more (over two sets)."""
 
     def multiply(parts: list[bytes]):
         entries = np.unique(np.frombuffer(b"".join(parts), dtype=ENTRY))
@@ -208,7 +213,7 @@ def _lists(blocks: DataFrame) -> DataFrame:
         order = np.lexsort((entries["set"] * _MULTIPLIERS[0], entries["gram"]))  # the first set of a list: as if by lot, yet the same in all lists
         entries = entries[order]
         leader = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return {"gram": _signed(entries["gram"]), "a": _signed(entries["set"][leader]), "b": _signed(entries["set"]), "n_a": entries["n"][leader].astype(np.int64), "n": entries["n"].astype(np.int64), "more": np.repeat(sizes > 2, sizes)}
+        return {"gram": _signed(entries["gram"]), "a": _signed(entries["set"][leader]), "b": _signed(entries["set"]), "n_a": entries["n"][leader].astype(np.int64), "n": entries["n"].astype(np.int64), "rest_a": entries["rest"][leader].astype(np.int64), "rest": entries["rest"].astype(np.int64), "more": np.repeat(sizes > 2, sizes)}
 
     def run(batches):
         block, parts = None, []
@@ -224,7 +229,7 @@ def _lists(blocks: DataFrame) -> DataFrame:
             yield out
 
     ordered = blocks.repartition("block").sortWithinPartitions("block")
-    return mapped(ordered, run, "gram bigint, a bigint, b bigint, n_a bigint, n bigint, more boolean")
+    return mapped(ordered, run, "gram bigint, a bigint, b bigint, n_a bigint, n bigint, rest_a bigint, rest bigint, more boolean")
 
 
 def _possible_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -278,7 +283,7 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, perc
 def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Possible pairs (a, b) of sets of one n-gram that are in different components, each pair once.
 
-    ``lists``: gram, set, component. A list is multiplied out in square blocks of at most LIST_BLOCK by
+    ``lists``: gram, set, rest, component. A list is multiplied out in square blocks of at most LIST_BLOCK by
     LIST_BLOCK sets, so that no task holds more of it.
     """
     sizes = lists.groupBy("gram").agg(F.count("*").alias("size"))
@@ -288,11 +293,11 @@ def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     rows = rows.join(sets.select(F.col("fp_a").alias("set"), "n", "bits"), "set")
     key = ["gram", "low", "high"]
-    rows = rows.select(*key, "set", "own", "component", "n", "bits").repartition(*key).sortWithinPartitions(*key, "n")
+    rows = rows.select(*key, "set", "own", "component", "n", "rest", "bits").repartition(*key).sortWithinPartitions(*key, "n")
 
     def multiply(group: list[tuple], high_only: bool) -> Iterator[tuple[int, int]]:
-        members, own, component, n, bits = zip(*group, strict=True)
-        n, component, own = np.asarray(n), np.asarray(component), np.asarray(own)
+        members, own, component, n, rest, bits = zip(*group, strict=True)
+        n, rest, component, own = np.asarray(n), np.asarray(rest), np.asarray(component), np.asarray(own)
         widths = np.asarray([len(b) // 8 for b in bits])
         stacks = {w: (np.flatnonzero(widths == w), np.frombuffer(b"".join(b for b in bits if len(b) == 8 * w), "<u8").reshape(-1, w)) for w in set(widths.tolist())}
         for i in range(len(group) - 1):
@@ -303,7 +308,8 @@ def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if lo >= hi:
                     continue
                 near = where[lo:hi]
-                good = component[near] != component[i]
+                shared = np.minimum(rest[near], rest[i])
+                good = (component[near] != component[i]) & (100 * shared >= percent * (n[near] + n[i] - shared))
                 if high_only:
                     good &= own[near] != own[i]
                 if good.any():
@@ -315,7 +321,7 @@ def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         at, group = None, []
         for batch in batches:
             out = set()
-            columns = (batch.column(c).to_pylist() for c in (*key, "set", "own", "component", "n", "bits"))
+            columns = (batch.column(c).to_pylist() for c in (*key, "set", "own", "component", "n", "rest", "bits"))
             for gram, low, high, *member in zip(*columns, strict=True):
                 if at != (gram, low, high):
                     if len(group) > 1:
@@ -331,7 +337,7 @@ def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, row_key (a hash of id and text).
 
     Words are runs of anything but ASCII white space, A-Z in lower case. A document with fewer than
     ``words`` words has its whole sequence as its only n-gram; one without words, or with a null text, has
@@ -356,7 +362,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     texts = _texts(docs, id_col, text_col)
     lists = stored(_lists(_blocks(texts, words, percent, blocks, frequent)), "lists")
-    fits = F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * percent
+    # If this is the first n-gram of both in the order, they share no more than what comes from here on; else an earlier list has the pair.
+    shared = F.least("rest_a", "rest")
+    fits = shared * 100 >= (F.col("n_a") + F.col("n") - shared) * percent
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     stars = lists.filter(fits & (F.col("a") != F.col("b"))).select(low, high)
     # a very frequent n-gram has a first set in each of its blocks: compare these too
@@ -367,8 +375,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     groups = components(links)
 
     whole = lists.groupBy("gram").agg(F.max("more").alias("more"), F.min("a").alias("head"), F.max("a").alias("last")).filter("more or head <> last").select("gram")
-    members = lists.select("gram", F.col("b").alias("set")).join(whole, "gram", "left_semi")
-    members = members.join(groups, members["set"] == groups["id"], "left").select("gram", "set", F.coalesce("component", "set").alias("component"))
+    members = lists.select("gram", F.col("b").alias("set"), "rest").join(whole, "gram", "left_semi")
+    members = members.join(groups, members["set"] == groups["id"], "left").select("gram", "set", "rest", F.coalesce("component", "set").alias("component"))
     members = stored(members, "members")
     mixed = members.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gram")
     across = _across(members.join(mixed, "gram", "left_semi"), sets, percent).join(tested, ["a", "b"], "left_anti")
@@ -380,4 +388,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     named = stored(named, "named")
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(lowest, "component").select(F.col("fp_a"), "component_id")
-    return rows.join(named, "fp_a", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(named, "fp_a", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
