@@ -10,6 +10,7 @@ from portolan.functions.text import SPACE, as_column, strip, zero_to_null
 
 PLAIN_NUMBER = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 _MARK = "\ue000"  # private-use sign standing for a decided decimal point
+_FRONT = "\u0002"
 
 
 def _to_double(text) -> Column:
@@ -56,8 +57,10 @@ def parse_numeric(c) -> Column:
         as_column(c),
         (r"[$€£]|USD|Gs|GS|PYG|R\$", ""),
         (f"{SPACE}+", ""),
-        # Points before the last comma separate thousands and commas are decimal.
-        (r",(?=.*\..*,[^.]*$)|(?<=\..{0,60}),(?=[^.]*$)", _MARK),
+        # Where the last comma stands behind the last point, points separate thousands and commas are decimal:
+        # such a text gets a mark in front, and from there on each comma becomes one.
+        (r"^(?=.*\..*,[^.]*$)", _FRONT),
+        (r"(?:^" + _FRONT + r"|(?!^)\G)([^,]*),", "$1" + _MARK),
         (r"\.(?=.*" + _MARK + r")|,(?=.*\.[^,]*$)", ""),
         (_MARK, "."),
         (r"^([^,]*),([^,]{0,2})$", "$1.$2"),
@@ -132,9 +135,15 @@ def money_text(value) -> Column:
 
 
 def plain_text(value) -> Column:
-    """A double without exponent and without trailing zeros, for logs and hashes."""
-    fixed = F.format_string("%.6f", as_column(value))
-    return F.when(as_column(value).isNotNull(), F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", ".0"))
+    """A double in full without trailing zeros, for logs and hashes.
+
+    There is no exponent unless the number has over 19 places on one side of the point.
+    """
+    value = as_column(value)
+    shortest = value.cast("string")
+    plain = shortest.try_cast("decimal(38,19)")
+    shown = F.regexp_replace(F.regexp_replace(plain.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ".0")
+    return F.when(plain.cast("double") == value, shown).otherwise(shortest)
 
 
 def confidence_band(c) -> Column:

@@ -152,7 +152,7 @@ def same_name_clusters(summary: DataFrame) -> DataFrame:
     )
 
 
-def typo_clusters(summary: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def typo_clusters(summary: DataFrame) -> DataFrame:
     """Brands a few letters apart, grouped around the more frequent spelling.
 
     In order of line count (ties by name) every brand that is not taken yet takes
@@ -173,9 +173,7 @@ def typo_clusters(summary: DataFrame, max_rounds: int = 10_000) -> DataFrame:
 
     open_edges, groups = edges, None
     undecided = cut_lineage(edges.select(F.col("earlier").alias("place")).union(edges.select("later")).distinct())
-    for _ in range(max_rounds):
-        if undecided.isEmpty():
-            break
+    while not undecided.isEmpty():  # each round decides at least the earliest brand left
         seeds = undecided.join(open_edges.select(F.col("later").alias("place")), "place", "left_anti")
         taken = open_edges.join(seeds.select(F.col("place").alias("earlier")), "earlier", "left_semi")
         seeds = cut_lineage(seeds)

@@ -38,17 +38,23 @@ def _comparable(value: Column, kind: str) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
+def edit_order(edits: DataFrame) -> Column:
+    """The place of an edit among those of its key; all share one where the edits have none."""
+    return F.col("edit_no").cast("bigint") if "edit_no" in edits.columns else F.lit(0).cast("bigint")
+
+
 def review_changes(dispatches: DataFrame, edits: DataFrame, changed_at: str, user: str = USER) -> tuple[DataFrame, DataFrame]:
     """Apply reviewed values and log every field that really changed.
 
-    ``edits`` has dispatch_id, field and raw_value, at most one row per pair.
+    ``edits`` has dispatch_id, field and raw_value; of repeated edits of a field the last by ``edit_no`` counts, if there
+    is such a column, and else the greatest value.
     Edits are laid side by side per declaration before the join, so headers are
     joined once whatever the number of edited fields.  Reviewed declarations are
     confirmed even if nothing changed.
     """
     fields = {f: k for f, k in fv.EDITABLE_FIELDS.items() if f in dispatches.columns}
     stamp = F.lit(changed_at).cast("timestamp")
-    given = F.struct(F.col("raw_value").alias("raw"))
+    given = F.struct(edit_order(edits).alias("no"), F.col("raw_value").alias("raw"))
     wide = edits.filter(F.col("field").isin(list(fields))).groupBy(F.col("dispatch_id").alias("id")).agg(
         *[F.max(F.when(F.col("field") == f, given)).alias(f"_new_{f}") for f in fields]
     ).withColumn("_edited", F.lit(True))
@@ -82,14 +88,19 @@ def review_changes(dispatches: DataFrame, edits: DataFrame, changed_at: str, use
 
 
 def set_owner(dispatches: DataFrame, edits: DataFrame, changed_at: str, user: str = USER) -> tuple[DataFrame, DataFrame]:
-    """Set owners (dispatch_id, owner); every request is logged."""
+    """Set owners (dispatch_id, owner); every request is logged.
+
+    Of repeated requests the last by ``edit_no`` counts, if there is such a column, and else the greatest owner.
+    """
     stamp = F.lit(changed_at).cast("timestamp")
-    wanted = edits.select(
-        F.col("dispatch_id").alias("id"), F.coalesce(blank_to_null(strip("owner")), F.lit(fv.NO_OWNER_LABEL)).alias("_owner")
+    asked = edits.select(
+        F.col("dispatch_id").alias("id"), F.coalesce(blank_to_null(strip("owner")), F.lit(fv.NO_OWNER_LABEL)).alias("_owner"),
+        edit_order(edits).alias("_no"),
     )
+    wanted = asked.groupBy("id").agg(F.max(F.struct("_no", "_owner"))["_owner"].alias("_owner"))
     joined = dispatches.join(wanted, "id", "left")
     hit = F.col("_owner").isNotNull()
-    audits = joined.filter(hit).select(
+    audits = dispatches.select("id", "owner").join(asked, "id").select(
         F.col("id").alias("dispatch_id"), F.lit("owner").alias("field"),
         F.coalesce(blank_to_null("owner"), F.lit(fv.NO_OWNER_LABEL)).alias("old_value"), F.col("_owner").alias("new_value"),
         F.lit(user).alias("user"), stamp.alias("changed_at"),

@@ -246,17 +246,10 @@ def drop_page_headers(pages: DataFrame) -> DataFrame:
     return pages.withColumn("text", goods_text(F.col("text")))
 
 
-def documents(pages: DataFrame, max_mb: int | None = fv.MAX_UPLOAD_MB) -> DataFrame:
-    """One row per document with its pages in order; larger files are left out.
-
-    Pass None only for pages of files whose size was checked at upload: it saves
-    the pass that adds up the sizes.
-    """
-    allowed = pages
-    if max_mb is not None:
-        allowed = pages.join(oversized_documents(pages, max_mb).select("doc_id"), "doc_id", "left_anti")
+def documents(pages: DataFrame) -> DataFrame:
+    """One row per document with its pages in order; the size of files is checked at upload."""
     page = F.struct("page_num", F.coalesce("text", F.lit("")).alias("text"))
-    return allowed.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    return pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
 
 
 def _item(tier, item_no, hs_code, raw, brand, quantity, unit, value, page, subitem_no=None, net_weight=None,
@@ -598,13 +591,13 @@ def _first_layout_with_items(pages: Column, layouts) -> Column:
     return let(found, lambda items: F.when(F.size(items) > 0, items).otherwise(_first_layout_with_items(pages, rest)))
 
 
-def extract_items(pages: DataFrame, layouts=tuple(_LAYOUTS), max_mb: int | None = fv.MAX_UPLOAD_MB) -> DataFrame:
+def extract_items(pages: DataFrame, layouts=tuple(_LAYOUTS)) -> DataFrame:
     """Goods lines of all documents, each read in the first layout that fits it.
 
     One exchange brings the pages of a document together; everything behind it,
     including the running page count, keeps that partitioning.
     """
-    docs = documents(pages, max_mb)
+    docs = documents(pages)
     found = docs.select("doc_id", F.transform("pages", lambda p: p["page_num"]).alias("_pages"), _document_items(tuple(layouts)).alias("_items"))
     rows = found.select("doc_id", "_pages", F.posexplode("_items").alias("seq", "i")).select("doc_id", "_pages", "seq", "i.*")
 

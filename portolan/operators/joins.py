@@ -84,6 +84,8 @@ def match_file_to_dispatch(files: DataFrame, dispatches: DataFrame) -> DataFrame
     )
     keys = {"by_name": F.col("file_name"), "by_path": stored, "by_number": F.col("number"), "by_hash": F.col("file_hash")}
     for name, key in keys.items():
+        # files without the key match nothing; a text of their own keeps them from meeting in one partition
+        found = found.withColumn(name, F.coalesce(name, F.concat(F.lit("\u0000"), F.coalesce("file_name", F.lit("")))))
         found = found.join(_smallest_id(dispatches, key, name), name, "left")
     ids = [F.col(f"{name}_id") for name in keys]
     reason = None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from portolan import fixed_values as fv
 from portolan.functions.goods import diagnose
 from portolan.functions.text import blank_to_null, strip
+from portolan.operators.changes import edit_order
 
 _FLAG_ISSUE = {"headers": fv.ISSUE_HEADER, "skus": fv.ISSUE_CODE, "prefixes": fv.ISSUE_TARIFF}
 
@@ -72,10 +73,13 @@ def apply_corrections(items: DataFrame, corrections: DataFrame) -> tuple[DataFra
     """Apply hand corrections (item_id, new_description, new_code, new_brand).
 
     A NULL code or brand keeps the old one; a blank code clears it and a blank
-    brand becomes the no-brand label.  Returns the new lines and the corrections
+    brand becomes the no-brand label.  Of repeated corrections of a line the last by
+    ``edit_no`` counts, if there is such a column, and else the greatest.  Returns the new lines and the corrections
     whose line does not exist.
     """
-    edits = corrections.select(F.col("item_id").alias("id"), F.lit(True).alias("_edit"), "new_description", "new_code", "new_brand")
+    given = F.struct(edit_order(corrections).alias("no"), "new_description", "new_code", "new_brand")
+    edits = corrections.groupBy(F.col("item_id").alias("id")).agg(F.max(given).alias("_last"))
+    edits = edits.select("id", F.lit(True).alias("_edit"), "_last.new_description", "_last.new_code", "_last.new_brand")
     edited = F.col("_edit").isNotNull()
     joined = items.join(edits, "id", "left")
     code = F.when(edited & F.col("new_code").isNotNull(), blank_to_null(strip("new_code"))).otherwise(F.col("product_code"))

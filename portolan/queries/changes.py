@@ -119,7 +119,7 @@ def delete_dispatches(spark, sf):
 
 
 @query("delete_dispatches_references", with_tables("""
-SELECT dispatch_id AS sheet_id, CASE WHEN dispatch_id % 7 <> 3 THEN id END AS catalog_item_id, quantity FROM items WHERE dispatch_id % 3 = 0"""))
+SELECT dispatch_id AS sheet_id, CASE WHEN dispatch_id % 7 <> 3 THEN id END AS catalog_item_id, quantity FROM items"""))
 def delete_dispatches_references(spark, sf):
     return _deleted(spark, sf)["sheet_items"]
 

@@ -98,8 +98,10 @@ def test_rescue_and_representative(spark):
     assert len(items) == 1 and items[0].brand == "ACME CORP" and items[0].total_value == 15000.5
 
 
-def test_oversized_documents_are_left_out(spark):
-    assert ex.extract_items(pages(spark, GOODS), max_mb=0).count() == 0
+def test_documents_of_any_size_are_read(spark):
+    large = pages(spark, GOODS + "\nx" * 30_000_000)
+    assert ex.oversized_documents(large, max_mb=50).count() == 1
+    assert ex.extract_items(large).count() == ex.extract_items(pages(spark, GOODS)).count() > 0
 
 
 def test_page_lines(spark):

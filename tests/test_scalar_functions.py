@@ -53,10 +53,14 @@ def test_parse_currency(spark):
 def test_parse_numeric(spark):
     check(spark, [
         (None, 0.0), ("", 0.0), ("$ 1,234.50", 1234.5), ("1.234,5", 1234.5), ("1,5", 1.5), ("1,234", 1234.0),
-        ("abc 12.5 kg", 12.5), ("none", 0.0), ("R$ 10", 10.0), ("12.0", 12.0), ("1e3", 1000.0), ("1,", 1.0),
+        ("1." + "0" * 70 + ",5", 1e70 + 0.5), ("1,5.2,25", 1.52), ("abc 12.5 kg", 12.5), ("none", 0.0), ("R$ 10", 10.0), ("12.0", 12.0), ("1e3", 1000.0), ("1,", 1.0),
     ], numbers.parse_numeric)
 
 
+def test_plain_text(spark):
+    check(spark, [(1e-7, "0.0000001"), (0.1234567, "0.1234567"), (5.0, "5.0"), (-1234567.25, "-1234567.25"), (1e18, "1000000000000000000.0"), (0.0, "0.0"), (1e30, "1.0E30"), (None, None)], numbers.plain_text)
+
+
 def test_sheet_numbers(spark):
     check(spark, [("1,234.5", 1234.5), ("x", 0.0), (None, 0.0)], numbers.clean_num)
     check(spark, [("6", 0.06), ("0.1", 0.1), ("1.5%", 0.015), ("1", 1.0), ("x", None)], numbers.parse_tax_pct)

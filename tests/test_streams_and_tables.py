@@ -97,6 +97,14 @@ def test_sheets_from_files(spark, tmp_path):
     assert [(r.goods, r.quantity, r.invoice_price, r.line_total, r.position) for r in lines] == [('A; "B"\nC', 5.0, 1.5, 7.5, 1)]
 
 
+def test_large_cells_and_inch_marks(spark):
+    wide, quoted = "w" * 1_000_000, 'q""' * 100_000 + "\n"
+    text = f'a;b;c\nTV LED 55" SMART;2;100\nMONITOR 24" HP;1;50\n{wide};"{quoted}";x\n""" ";"" y;z\n'
+    rows = sheets.delimited_to_cells(spark.createDataFrame([("f", text)], "file_id string, text string")).orderBy("row_idx").collect()
+    want = [["a", "b", "c"], ['TV LED 55" SMART', "2", "100"], ['MONITOR 24" HP', "1", "50"], [wide, 'q"' * 100_000, "x"], ['"', "y", "z"]]
+    assert [r.cells for r in rows] == want
+
+
 def test_header_in_third_row(spark):
     rows = [("f", 0, ["Proforma", "", ""]), ("f", 1, ["", "VALOR", ""]), ("f", 2, ["Mercadoria", "Unitário", "TOTAL"]), ("f", 3, ["Mouse sem fio", "2", "10"])]
     cells = spark.createDataFrame(rows, "file_id string, row_idx bigint, cells array<string>")
