@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from portolan import fixed_values as fv
 from portolan.functions import goods, hs, text
 from portolan.operators import aggregates as agg
 from portolan.operators import brands as br
@@ -255,7 +256,7 @@ def brand_fuzzy_pairs(spark, sf):
     return br.brand_pairs(br.comparable_brands(_names_as_brands(spark, sf)))
 
 
-@query("brand_typo_clusters", with_tables(_NAMES.replace(", names", ", names", 1) + """
+_TYPO_SQL = with_tables(_NAMES + """
 , ranked AS (SELECT *, row_number() OVER (ORDER BY items DESC, brand) AS rank FROM names),
 near AS (
   SELECT a.rank, list(b.rank) AS later FROM ranked a JOIN ranked b
@@ -270,15 +271,28 @@ walk AS (
     FROM g LEFT JOIN near ON near.rank = i + 1 WHERE i < (SELECT count(*) FROM ranked))
   SELECT unnest(links, recursive := true) FROM g WHERE i = (SELECT count(*) FROM ranked)),
 members AS (SELECT seed, member FROM walk UNION SELECT seed, seed FROM walk)
-SELECT s.brand AS suggested, m.brand, m.items FROM members JOIN ranked s ON s.rank = seed JOIN ranked m ON m.rank = member"""))
+SELECT s.brand AS suggested, m.brand, m.items FROM members JOIN ranked s ON s.rank = seed JOIN ranked m ON m.rank = member""")
+
+
+@query("brand_typo_clusters", _TYPO_SQL)
 def brand_typo_clusters(spark, sf):
     return br.typo_clusters(_names_as_brands(spark, sf)).select("suggested", "brand", "items")
 
 
-@query("brand_clusters")
+@query("brand_clusters", _TYPO_SQL.replace("SELECT s.brand AS suggested, m.brand, m.items FROM", "SELECT seed, s.brand AS suggested, m.brand, m.items FROM", 1).replace(
+    "SELECT seed, s.brand", ", typos AS (SELECT seed, s.brand", 1) + f""")
+{_SPELLED}
+, groups AS (
+  SELECT skeleton, count(*) AS variants, sum(items) AS all_items, min(struct_pack(n := -items, brand := brand)) AS best
+  FROM summary GROUP BY skeleton HAVING count(*) > 1)
+SELECT '{fv.CLUSTER_REASON_SAME}' AS reason, best.brand AS suggested, variants, CAST(all_items + best.n AS BIGINT) AS affected_items, summary.brand, items
+FROM groups JOIN summary USING (skeleton)
+UNION ALL
+SELECT '{fv.CLUSTER_REASON_TYPO}', suggested, count(*) OVER (PARTITION BY seed), CAST(sum(CASE WHEN brand <> suggested THEN items ELSE 0 END) OVER (PARTITION BY seed) AS BIGINT), brand, items
+FROM typos""")
 def brand_clusters(spark, sf):
-    summary = agg.brand_totals(st.items_with_brand_spellings(spark, sf), st.dispatches(spark, sf))
-    return br.brand_clusters(summary.select("brand", "items"))
+    spelled = st.items_with_brand_spellings(spark, sf).groupBy("brand").agg(F.count("*").alias("items"))
+    return br.brand_clusters(spelled.unionByName(_names_as_brands(spark, sf)))
 
 
 def _sheet_lines(spark, sf):
