@@ -39,7 +39,7 @@ class Model:
     toxic: bytes
     ordinary: bytes
     primer: bytes
-    offset: float
+    bias: float
     scale: float
     few: float
 
@@ -77,7 +77,8 @@ class Scorer:
         m = self.model
         mean, n = self.distance(text)
         # one saved match weighs less in a text of few windows
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, m.scale * (mean * n / (n + m.few) - m.offset)))))
+        logit = m.bias + (m.scale * mean * n / (n + m.few) if n else 0.0)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
 
 
 def distinct_texts(texts: list[str]) -> list[list[bytes]]:
@@ -124,7 +125,7 @@ def _common(texts: list[list[bytes]]) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Offset and scale of the logistic curve that fits best, by damped Newton steps with a weak prior on the scale."""
+    """Bias and scale of the logistic curve that fits best, by damped Newton steps with a weak prior on the scale."""
     w = np.zeros(2)
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * x, -30, 30)))
@@ -135,7 +136,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return float(-w[0] / w[1]) if w[1] else 0.0, float(w[1])
+    return float(w[0]), float(w[1])
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
@@ -149,7 +150,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     flat = math.log(share / (1 - share))
     common = _common(kinds[0] + kinds[1])[-COMMON_BYTES:]
     primer = common[-64:-24]
-    model = Model(b" " + _telling(kinds[1], kinds[0]) + b" " + common, b" " + _telling(kinds[0], kinds[1]) + b" " + common, primer, -flat, 1.0, 0.0)
+    model = Model(b" " + _telling(kinds[1], kinds[0]) + b" " + common, b" " + _telling(kinds[0], kinds[1]) + b" " + common, primer, flat, 0.0, 0.0)
     if not all(kinds) or len({labels[i] for i in halves[1]}) < 2:
         model.toxic = model.ordinary = common or b" "
         return model
@@ -159,12 +160,14 @@ def train(texts: list[str], labels: list[int]) -> Model:
     best = None
     for few in (0.0, 0.5, 1.0, 2.0, 4.0):
         x = np.asarray([mean * n / (n + few) if n else 0.0 for mean, n in found])
-        offset, scale = _logistic(x, y)
-        p = 1 / (1 + np.exp(-np.clip(scale * (x - offset), -30, 30)))
+        bias, scale = _logistic(x, y)
+        if scale <= 0:  # chance: nothing tells these texts apart
+            bias, scale = flat, 0.0
+        p = 1 / (1 + np.exp(-np.clip(bias + scale * x, -30, 30)))
         loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
         if best is None or loss < best[0]:
-            best = (loss, offset, scale, few)
-    _, model.offset, model.scale, model.few = best
+            best = (loss, bias, scale, few)
+    _, model.bias, model.scale, model.few = best
     return model
 
 
