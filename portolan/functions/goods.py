@@ -74,11 +74,16 @@ _CODE_STEPS = [
 ]
 
 
+def literal_pattern(value: Column) -> Column:
+    """A pattern that matches a text itself, also where the text holds the end of a quotation."""
+    return F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def _without_brand_prefix(text: Column, brand) -> Column:
     """Drop the brand where a lot letter or a separator shows it is a prefix."""
     brand = as_column(brand)
     named = blank_to_null(brand).isNotNull() & ~F.upper(brand).isin(fv.OBSERVATION_NO_BRAND)
-    quoted = F.concat(F.lit(r"\Q"), F.trim(brand), F.lit(r"\E"))
+    quoted = literal_pattern(F.trim(brand))
     prefix = F.concat(F.lit(RX + r"^(?:[A-Za-z]-[ ]*"), quoted, F.lit("|"), quoted, F.lit(r"\s*[-:])\s*"))
     # The pattern differs per row; most rows have no separator and skip it.
     worth_trying = named & (text.contains("-") | text.contains(":"))
@@ -193,7 +198,7 @@ def variant_name(text, brand=None) -> Column:
     raw = as_column(text)
     words = F.upper(raw)
     if brand is not None:
-        pattern = F.concat(F.lit(r"(?U)\b\Q"), F.upper(as_column(brand)), F.lit(r"\E\b"))
+        pattern = F.concat(F.lit(r"(?U)\b"), literal_pattern(F.upper(as_column(brand))), F.lit(r"\b"))
         words = F.when(blank_to_null(brand).isNull(), words).otherwise(F.regexp_replace(words, pattern, F.lit(" ")))
     measures = r"(?U)\b\d+[\.,]?\d*\s*(ML|G|KG|L|OZ|W|V|MM|CM|M|PZAS?|UNID?|PCS?)\b"
     words = F.regexp_replace(F.regexp_replace(words, measures, " "), r"[()\[\]/,\-.:;\"'#]", " ")

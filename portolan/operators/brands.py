@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portolan import fixed_values as fv
-from portolan.functions.goods import family_variant, variant_name
+from portolan.functions.goods import family_variant, let, literal_pattern, variant_name
 from portolan.functions.hs import constant_frame
 from portolan.functions.text import as_column, blank_to_null, brand_skeleton, non_blank, strip, title_case
 from portolan.session import cut_lineage
@@ -245,7 +245,7 @@ def detect_brands(texts: DataFrame, known: DataFrame, column: str) -> DataFrame:
     grams = F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)])))
     phrases = distinct.withColumn("_words", words).select("text", F.explode(grams).alias("words"))
     hits = phrases.join(dictionary, "words").filter(
-        F.regexp_like(F.upper("text"), F.concat(F.lit(r"(?U)\b\Q"), F.col("known"), F.lit(r"\E\b")))
+        F.regexp_like(F.upper("text"), F.concat(F.lit(r"(?U)\b"), literal_pattern(F.col("known")), F.lit(r"\b")))
     )
     best = F.min_by("known", F.struct(-F.length("known"), F.col("known")))
     return hits.groupBy("text").agg(best.alias("known")).select(
@@ -269,7 +269,7 @@ def family_variant_counts(items: DataFrame) -> DataFrame:
     """
     named = items.filter(non_blank("brand") & non_blank("description"))
     counted = named.groupBy("brand", "description").agg(F.count("*").alias("n"))
-    split = counted.withColumn("fv", family_variant(variant_name("description", "brand"))).select("brand", "n", "fv.*")
+    split = counted.withColumn("fv", let(variant_name("description", "brand"), family_variant)).select("brand", "n", "fv.*")
     return split.groupBy("brand", "family", "variant").agg(
         F.sum("n").alias("items"), F.min("search_pattern").alias("search_pattern")
     )

@@ -7,6 +7,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from portolan.sources.schemas import SCHEMAS, conform
+
 UTF8_MARK = "﻿"
 
 
@@ -58,8 +60,10 @@ def current_version(spark: SparkSession, root: str) -> str:
 
 
 def read_tables(spark: SparkSession, root: str, names: list[str], version: str | None = None) -> dict[str, DataFrame]:
+    """The named tables of a version, the last by default; those with a schema have its columns and types."""
     chosen = version or current_version(spark, root)
-    return {name: spark.read.parquet(f"{root}/{chosen}/{name}") for name in names}
+    found = {name: spark.read.parquet(f"{root}/{chosen}/{name}") for name in names}
+    return {name: conform(df, name) if name in SCHEMAS else df for name, df in found.items()}
 
 
 def append_processing_log(log: DataFrame, path: str) -> None:

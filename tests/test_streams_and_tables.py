@@ -3,11 +3,13 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from portolan.operators import historical, sheets
 from portolan.plans import reports
 from portolan.sources import tables
+from portolan.sources.schemas import SCHEMAS
 from portolan.streaming import watch
 
 
@@ -76,6 +78,11 @@ def test_versions_and_export(spark, tmp_path):
     assert first < second and tables.current_version(spark, root) == second
     assert tables.read_tables(spark, root, ["dispatches"])["dispatches"].first().number == "N2"
     assert tables.read_tables(spark, root, ["dispatches"], first)["dispatches"].first().number == "N,1"
+    found = tables.read_tables(spark, root, ["dispatches"])["dispatches"]
+    assert found.schema.fields[: len(SCHEMAS["dispatches"])] == SCHEMAS["dispatches"].fields and found.columns[-1] == "r"
+    tables.write_tables({"dispatches": heads.withColumn("fob", F.lit("text"))}, root)
+    with pytest.raises(TypeError):
+        tables.read_tables(spark, root, ["dispatches"])
     tables.write_csv(heads.coalesce(1), str(tmp_path / "csv"))
     part = [p for p in os.listdir(tmp_path / "csv") if p.startswith("part")][0]
     text = (tmp_path / "csv" / part).read_text(encoding="utf-8")
