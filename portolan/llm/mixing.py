@@ -81,12 +81,14 @@ def fitted_steps(light: DataFrame, domains: list[str], targets: Mapping[str, flo
         return []
     weights = np.asarray([max(0.0, float(targets.get(d, 0.0))) for d in domains])
     weights = weights / weights.sum() if weights.sum() else have / have.sum()
+    inverse = np.linalg.pinv(np.asarray([float(x) for x in sums[len(domains) :]]).reshape(len(domains), len(domains)))
     if total == "same":
         total = have.sum()
     elif total == "enough":
-        total = (have[weights > 0] / weights[weights > 0]).max()
+        # from rates of 1, one step makes them total * p . gain; none is below 1 if no part of the gain is below 1 / total
+        gain = inverse @ weights
+        total = (1 / gain).max() if (gain > 0).all() else (have[weights > 0] / weights[weights > 0]).max()
     wanted = weights * float(total)
-    inverse = np.linalg.pinv(np.asarray([float(x) for x in sums[len(domains) :]]).reshape(len(domains), len(domains)))
     steps: list[list[float]] = []
     reached = have
     while np.abs(reached - wanted).max() > TOLERANCE * wanted.sum() and len(steps) < STEPS:
@@ -103,7 +105,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, flo
 
     ``targets`` are the wanted shares of tokens by domain. Domains without labelled rows cannot be told apart and are left
     out; what is left is scaled to 1. ``total`` is the number of tokens wanted, "same" for as many as there are, or "enough"
-    for the least that thins no domain. Rates are nonnegative and as near to 1 as the targets allow; where they cannot be met,
+    for the least that thins no document (no domain, where targets near 0 leave no such total). Rates are nonnegative and as near to 1 as the targets allow; where they cannot be met,
     they are met as nearly as possible. Null and empty texts have one token; repeated rows each have a rate; other columns are
     ignored; an empty table gives an empty table.
     """
