@@ -51,10 +51,10 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _projection(vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and sign of each id, and the directions the buckets are projected on; the same everywhere."""
+def _projection(vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each id, from BUCKETS on with a negative sign, and the directions the buckets are projected on; the same everywhere."""
     draw = np.random.default_rng(20_240_611)
-    return draw.integers(0, BUCKETS, vocabulary), draw.choice((-1.0, 1.0), vocabulary), draw.standard_normal((BUCKETS, DIMENSIONS))
+    return draw.integers(0, 2 * BUCKETS, vocabulary), draw.standard_normal((BUCKETS, DIMENSIONS))
 
 
 def tail_sizes(rest: int) -> list[int]:
@@ -96,15 +96,15 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
     width = id_type(max(vocabulary, end_id + 1))
 
     def encode(batches):
-        encoder, (bucket, sign, directions) = id_encoder(tokenizer_path), _projection(vocabulary)
+        encoder, (bucket, directions) = id_encoder(tokenizer_path), _projection(vocabulary)
         end = np.asarray([end_id], dtype=width).tobytes()
         for batch in batches:
-            ids = [b"".join(v) for part in encoder.batches(batch.column("text").to_pylist()) for v in part]
+            ids = list(encoder.texts(batch.column("text").to_pylist(), b"".join))
             vectors = np.zeros((len(ids), BUCKETS))
             for row, data in enumerate(ids):
                 if data:
-                    which = np.frombuffer(data, dtype=width)
-                    vectors[row] = np.bincount(bucket[which], weights=sign[which], minlength=BUCKETS)
+                    counts = np.bincount(bucket[np.frombuffer(data, dtype=width)], minlength=2 * BUCKETS)
+                    vectors[row] = counts[:BUCKETS] - counts[BUCKETS:]
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
             points = 1 / (1 + np.exp(-1.702 * (vectors @ directions)))
             ids = [data + end for data in ids]

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from portolan.session import shared_folder
 
+#: Rows of a batch that goes to Python, at most: texts can be long, and a batch must fit in memory.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -41,6 +43,9 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(spark_schema)
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(batches):

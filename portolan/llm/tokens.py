@@ -9,7 +9,6 @@ distinct pieces it does not know yet, and a bounded memo keeps those for later b
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,10 +19,13 @@ from pyspark.sql import functions as F
 from portolan.llm.shared import balanced, filled, mapped
 
 BATCH_CHARS = 1 << 20
-MEMO_PIECES = 400_000
+MEMO_PIECES = 180_000
 MEMO_PIECE_CHARS = 200
-#: A mark between a letter or digit and white space is a token of its own, so splitting before it is safe.
-_MARK = re.compile(r"(?<=[A-Za-z0-9])[.,](?= )")
+JOINED_CHARS = 100_000
+#: Stands alone between pieces, where it is one token; pieces that hold it are encoded by themselves.
+MARK = "|"
+#: After a letter these begin a token of their own.
+_STOPS = ".,;:!?*#%&$|"
 
 
 def load(path: str):
@@ -36,33 +38,76 @@ def load(path: str):
 
 def pieces(text: str) -> list[str]:
     """Pieces whose tokens, one after the other, are the tokens of ``text``."""
-    if text.isascii() and "<|" not in text:  # special strings are matched before case is dropped
-        text = text.lower()
-    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-    return _MARK.sub(r" \g<0>", text).split(" ")
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+def parts(piece: str) -> tuple[str, str]:
+    """A word and the stops behind it, to be encoded one after the other; the stops may be empty.
+
+    Plain ASCII loses its case here, as it would in the tokenizer; special strings are found before that.
+    """
+    word = piece.rstrip(_STOPS)
+    stops = piece[len(word) :]
+    if not (stops and word and word[-1].isalpha()):
+        word, stops = piece, ""
+    return (word.lower() if word.isascii() and "<|" not in word else word), stops
 
 
 class PieceEncoder:
-    """Encodes byte-balanced batches of texts; ``value`` is what is kept of a piece's encoding."""
+    """Encodes byte-balanced batches of texts; ``value`` is what is kept of a piece's ids; values add up."""
 
     def __init__(self, path: str, value):
-        self.tokenizer, self.value, self.memo = load(path), value, {"": value([])}
-
-    def batches(self, texts: list[str]) -> Iterator[list[list]]:
-        """For each batch of texts, the values of each text's pieces."""
+        self.tokenizer, self.value = load(path), value
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.mark = ids(MARK)[-1]
+        if ids(MARK) != [self.mark] or ids(f" aB {MARK}  c") != [*ids("ab"), self.mark, *ids("c")]:
+            raise ValueError(f"{path}: only tokenizers that drop case and white space are split at white space")
+        self.memo, self.before = {}, {}
+
+    def _encode(self, words: list[str]) -> None:
+        """Put ``words`` into the memo: many are one text for the tokenizer, with marks between them."""
+        plain = [w for w in words if MARK not in w]
+        for part in balanced(plain, JOINED_CHARS):
+            encoded = self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0]
+            ids = np.asarray(encoded.ids)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            start = 0
+            for word, end in zip(part, ends, strict=True):
+                self.memo[word] = self.value(ids[start:end])
+                start = end + 1
+        self.memo[""] = self.value(np.empty(0, dtype=np.int64))
+        for word in set(words).difference(plain):
+            self.memo[word] = self.value(np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=np.int64))
+
+    def _recall(self, wanted: set[str]) -> set[str]:
+        """Those of ``wanted`` that are in neither memo; what only the older one has is taken over."""
+        new = wanted.difference(self.memo)
+        if not self.before:
+            return new
+        old = {piece: self.before[piece] for piece in new if piece in self.before}
+        self.memo.update(old)
+        return new.difference(old)
+
+    def _learn(self, new: set[str]) -> None:
+        split = {p: parts(p) for p in new}
+        self._encode(list(self._recall({x for pair in split.values() for x in pair})))
+        for piece, (word, stops) in split.items():
+            self.memo[piece] = self.memo[word] + self.memo[stops] if stops else self.memo[word]
+
+    def texts(self, texts: list[str], joined) -> Iterator:
+        """``joined`` of the values of the pieces of each text, in order."""
         for batch in balanced(texts, BATCH_CHARS):
-            words = [pieces(t) for t in batch]
-            if len(self.memo) > MEMO_PIECES:
-                self.memo = {"": self.value([])}
-            new = list(set(chain.from_iterable(words)).difference(self.memo))
-            for part in balanced(new, BATCH_CHARS):
-                encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                self.memo.update(zip(part, (self.value(e.ids) for e in encoded), strict=True))
-            get = self.memo.__getitem__
-            yield [list(map(get, w)) for w in words]
+            if len(self.memo) > MEMO_PIECES:  # a full memo is kept once more, for what is still in use
+                self.memo, self.before = {}, self.memo
+            split = [pieces(t) for t in batch]
+            new = self._recall(set(chain.from_iterable(split)))
+            self._learn(new)
+            for own in split:
+                yield joined(map(self.memo.__getitem__, own))
             for piece in new:
                 if len(piece) > MEMO_PIECE_CHARS:
-                    del self.memo[piece]
+                    for x in {piece, *parts(piece)}:
+                        self.memo.pop(x, None)
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
@@ -79,7 +124,7 @@ def id_encoder(path: str) -> PieceEncoder:
     """The encoder of this Python worker that keeps ids as little-endian bytes of ``id_type(path)``."""
     if (path, "ids") not in _ENCODERS:
         kind = id_type(load(path).get_vocab_size())
-        _ENCODERS[path, "ids"] = PieceEncoder(path, lambda ids: np.asarray(ids, dtype=kind).tobytes())
+        _ENCODERS[path, "ids"] = PieceEncoder(path, lambda ids: ids.astype(kind).tobytes())
     return _ENCODERS[path, "ids"]
 
 
@@ -100,7 +145,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def count(batches):
         encoder = counter(tokenizer_path)
         for batch in batches:
-            lengths = [sum(v) for part in encoder.batches(batch.column("text").to_pylist()) for v in part]
+            lengths = list(encoder.texts(batch.column("text").to_pylist(), sum))
             yield {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": lengths}
 
     kind = dict(rows.dtypes)["doc_id"]

@@ -32,7 +32,7 @@ def test_pieces_have_the_tokens_of_the_text(tokenizer):
 
 
 def test_memo_keeps_results_when_it_is_full(tokenizer, monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO_WORDS", 20)
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 20)
     monkeypatch.setattr(tokens, "BATCH_CHARS", 200)
     texts = [f"w{i % 50} x{i} y{i % 7}." for i in range(300)]
     found = list(tokens.PieceEncoder(queries.word_bpe(), len).texts(texts, sum))
