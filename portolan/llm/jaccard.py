@@ -31,8 +31,11 @@ FREQUENT_COUNT, FREQUENT_KEPT, COUNT_BUFFER = 8, 100_000, 4_000_000
 ENTRIES_PER_BLOCK, LEAST_BLOCKS, ENTRIES_PER_FLUSH = 200_000, 64, 500_000
 LIST_SALT = 50_000
 LIST_BLOCK = 2_048
+#: Rounds of comparisons with one set per list before what is still apart is multiplied out.
+STAR_ROUNDS = 2
 MEMBERS_PER_SALT = 500
 WORD_MEMO = 400_000
+LEAST_BITS = 2_048
 #: n-gram, set, size of the set, and how many of its n-grams come from here on in the order, this one with them.
 ENTRY = np.dtype([("gram", "<u8"), ("set", "<u8"), ("n", "<u4"), ("rest", "<u4")])
 _MULTIPLIERS = np.random.default_rng(75).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,8 +71,11 @@ def gram_set(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
-    """Bits set by the low bits of the n-grams: a power of two of bits, two or more per n-gram, as 64-bit words."""
-    bits = max(64, 1 << int(2 * len(grams) - 1).bit_length())
+    """Bits set by the low bits of the n-grams: a power of two of bits, four or more per n-gram, as 64-bit words.
+
+    Small sets, which often share a passage and little else, have the most bits per n-gram; these compress well.
+    """
+    bits = max(LEAST_BITS, 1 << int(4 * len(grams) - 1).bit_length())
     flags = np.zeros(bits, dtype=np.uint8)
     flags[grams & np.uint64(bits - 1)] = 1
     return np.packbits(flags, bitorder="little").view("<u8")
@@ -280,6 +286,19 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, perc
     return mapped(rows.select("a", "set", "role", "salt", "text"), count, "a bigint, b bigint").distinct()
 
 
+def _other_stars(lists: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of one set of each list with those of its other sets that are in another component.
+
+    The set is drawn anew in each list and turn: near copies of which few resemble one of them soon meet another.
+    ``lists``: gram, set, n, rest, component.
+    """
+    drawn = lists.groupBy("gram").agg(F.min(F.struct(F.xxhash64("gram", "set", F.lit(turn)), "set", "n", "rest", "component")).alias("star"))
+    pairs = lists.join(drawn, "gram").filter("component <> star.component")
+    shared = F.least("rest", "star.rest")
+    pairs = pairs.filter(shared * 100 >= (F.col("n") + F.col("star.n") - shared) * percent)
+    return pairs.select(F.least("set", "star.set").alias("a"), F.greatest("set", "star.set").alias("b")).distinct()
+
+
 def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Possible pairs (a, b) of sets of one n-gram that are in different components, each pair once.
 
@@ -302,7 +321,7 @@ def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         stacks = {w: (np.flatnonzero(widths == w), np.frombuffer(b"".join(b for b in bits if len(b) == 8 * w), "<u8").reshape(-1, w)) for w in set(widths.tolist())}
         for i in range(len(group) - 1):
             mine = np.frombuffer(bits[i], "<u8")
-            for w in (widths[i], 2 * widths[i]):  # a partner is at most a third larger, so its signature is as wide or twice as wide
+            for w in sorted({widths[i], 2 * widths[i]}):  # a partner is at most a third larger, so its signature is as wide or twice as wide
                 where, stack = stacks.get(int(w), (np.empty(0, int), None))
                 lo, hi = np.searchsorted(where, i + 1), np.searchsorted(where, np.searchsorted(n, n[i] * 100 // percent, "right"))
                 if lo >= hi:
@@ -375,14 +394,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     groups = components(links)
 
     whole = lists.groupBy("gram").agg(F.max("more").alias("more"), F.min("a").alias("head"), F.max("a").alias("last")).filter("more or head <> last").select("gram")
-    members = lists.select("gram", F.col("b").alias("set"), "rest").join(whole, "gram", "left_semi")
-    members = members.join(groups, members["set"] == groups["id"], "left").select("gram", "set", "rest", F.coalesce("component", "set").alias("component"))
-    members = stored(members, "members")
-    mixed = members.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gram")
-    across = _across(members.join(mixed, "gram", "left_semi"), sets, percent).join(tested, ["a", "b"], "left_anti")
-    across = stored(across, "across")
-    if not across.isEmpty():
-        groups = components(links.union(_links(across, sets, texts, words, percent)))
+    whole = stored(lists.select("gram", F.col("b").alias("set"), "n", "rest").join(whole, "gram", "left_semi"), "long-lists")
+    for turn in range(STAR_ROUNDS + 1):
+        members = whole.join(groups, whole["set"] == groups["id"], "left").select("gram", "set", "n", "rest", F.coalesce("component", "set").alias("component"))
+        members = stored(members, "members")
+        mixed = members.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gram")
+        members = members.join(mixed, "gram", "left_semi")
+        if turn < STAR_ROUNDS:
+            more = _possible_pairs(_other_stars(members, turn, percent).join(tested, ["a", "b"], "left_anti"), sets, percent)
+        else:
+            more = _across(members.drop("n"), sets, percent).join(tested, ["a", "b"], "left_anti")
+        more = stored(more, "pairs")
+        if not more.isEmpty():
+            tested = tested.unionByName(more)
+            links = links.unionByName(stored(_links(more, sets, texts, words, percent), "links"))
+            groups = components(links)
 
     named = sets.join(groups, sets["fp_a"] == groups["id"], "left").select("fp_a", "n", "doc_id", F.coalesce("component", "fp_a").alias("component"))
     named = stored(named, "named")
