@@ -143,6 +143,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), filled(text_col).alias("text"))
 
 
+def _salts(grams: np.ndarray, grams_f: np.ndarray, counts_f: np.ndarray) -> np.ndarray:
+    """Over how many blocks the sets of each n-gram are dealt; counts are of rows, copies with them."""
+    if not len(grams_f):
+        return np.ones(len(grams), dtype=np.uint64)
+    at = np.minimum(np.searchsorted(grams_f, grams), len(grams_f) - 1)
+    return np.where(grams_f[at] == grams, 1 + counts_f[at] // LIST_SALT, 1).astype(np.uint64)
+
+
 def _blocks(texts: DataFrame, words: int, percent: int, blocks: int, frequent) -> DataFrame:
     """(block, entries): the prefix entries of all documents, packed by block of n-grams.
 
@@ -167,9 +175,7 @@ def _blocks(texts: DataFrame, words: int, percent: int, blocks: int, frequent) -
         entries = np.concatenate(rows)
         block = entries["gram"] >> np.uint64(20)
         if len(grams_f):  # the documents of a very frequent n-gram are dealt over several blocks
-            at = np.minimum(np.searchsorted(grams_f, entries["gram"]), len(grams_f) - 1)
-            salts = np.where(grams_f[at] == entries["gram"], 1 + counts_f[at] // LIST_SALT, 1).astype(np.uint64)
-            block = block + entries["set"] % salts
+            block = block + entries["set"] % _salts(entries["gram"], grams_f, counts_f)
         block = (block % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         block, entries = block[order], entries[order]
@@ -204,16 +210,19 @@ def _blocks(texts: DataFrame, words: int, percent: int, blocks: int, frequent) -
     return mapped(texts.select("text"), run, "block bigint, entries binary")
 
 
-def _lists(blocks: DataFrame) -> DataFrame:
-    """Per n-gram of a block with two or more sets: its first set ``a`` with each set ``b``: sizes n_a, n; rest_a, rest as in ENTRY; more (over two sets)."""
+def _lists(blocks: DataFrame, frequent) -> DataFrame:
+    """Per n-gram of a block with two or more sets: its first set ``a`` with each set ``b``: sizes n_a, n; rest_a, rest as in ENTRY; more (over two sets).
+
+    A set that is alone in its block stays too if the n-gram is dealt over several: its others are in those.
+    """
 
     def multiply(parts: list[bytes]):
         entries = np.unique(np.frombuffer(b"".join(parts), dtype=ENTRY))
         gram = entries["gram"]
         first = np.flatnonzero(np.diff(gram, prepend=gram[0] ^ np.uint64(1)))
         sizes = np.diff(first, append=len(gram))
-        keep = np.repeat(sizes > 1, sizes)
-        entries, sizes = entries[keep], sizes[sizes > 1]
+        wanted = (sizes > 1) | (_salts(gram[first], *frequent.value) > 1)
+        entries, sizes = entries[np.repeat(wanted, sizes)], sizes[wanted]
         if not len(entries):
             return None
         order = np.lexsort((entries["set"] * _MULTIPLIERS[0], entries["gram"]))  # the first set of a list: as if by lot, yet the same in all lists
@@ -380,7 +389,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     blocks = max(LEAST_BLOCKS, int(entries) // ENTRIES_PER_BLOCK)
 
     texts = _texts(docs, id_col, text_col)
-    lists = stored(_lists(_blocks(texts, words, percent, blocks, frequent)), "lists")
+    lists = stored(_lists(_blocks(texts, words, percent, blocks, frequent), frequent), "lists")
     # If this is the first n-gram of both in the order, they share no more than what comes from here on; else an earlier list has the pair.
     shared = F.least("rest_a", "rest")
     fits = shared * 100 >= (F.col("n_a") + F.col("n") - shared) * percent

@@ -179,6 +179,19 @@ def test_near_duplicates_match_all_pairs(spark, monkeypatch, settings):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == _near(rows)
 
 
+def test_sets_alone_in_their_block_meet_the_others_of_their_n_gram(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST_SALT", 4)
+    draw, rows = random.Random(11), []
+    for _ in range(6):  # many exact copies give an n-gram many blocks, a few near copies leave most of them empty
+        base = [f"w{draw.randrange(3_000)}" for _ in range(60)]
+        near = [base[:k] + ["other"] + base[k + 1 :] for k in (10, 50)]
+        rows += [" ".join(base)] * 60 + [" ".join(t) for t in near]
+    rows = list(enumerate(rows))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == _near(rows)
+    assert len({r.component_id for r in got}) == 6
+
+
 def test_near_duplicates_edges(edge, nothing):
     rows = [(r.doc_id, r.text) for r in edge.select("doc_id", "text").collect()]
     got = jaccard.near_duplicates(edge).collect()
