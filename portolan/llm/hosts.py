@@ -8,6 +8,7 @@ one join and one aggregation per round. A host with more distrust than trust is
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from string import ascii_lowercase, ascii_uppercase
 
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from portolan.llm.shared import filled, stored
 
 DAMPING = 0.6
-TOLERANCE = 1e-3
+#: Largest part of its value by which any host may still change when rounds end, and the least change that counts: below it doubles end.
+TOLERANCE, LEAST_CHANGE = 1e-6, sys.float_info.min
 RATIO = 1.0
 #: The host of each absolute link; links within a host lead nowhere else.
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -60,8 +62,10 @@ def spread(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, toleran
     """(host, trust, distrust): personalised PageRank from ``hosts`` (host, trust, distrust seeds).
 
     A host shares its trust over the hosts it links to, by pages, and its distrust over the hosts that link to it.
-    Seeds are divided by their sum. Rounds end when no more than ``tolerance`` of the mass moves, which the damping
-    brings about after log(tolerance) / log(damping) rounds at the latest; mass at hosts without links stays out.
+    Seeds are divided by their sum. Values only rise, and rounds end when none rises by more than ``tolerance`` of itself:
+    a host reached for the first time rises by all of it, so every host that links reach from a seed is reached, however
+    little of the mass flows there. What is then missing at a host is at most ``tolerance`` times its value times the mean
+    number of links that its mass came by.
     """
     out = edges.groupBy(F.col("src").alias("host")).agg(F.sum("n").alias("total"))
     into = edges.groupBy(F.col("dst").alias("host")).agg(F.sum("n").alias("total"))
@@ -82,9 +86,10 @@ def spread(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, toleran
         for c in ("trust", "distrust"):
             after = after.withColumn(c, F.col(f"seed_{c}") * (1 - damping) + F.coalesce(f"more_{c}", F.lit(0.0)) * damping)
         after = stored(after.select("host", "seed_trust", "seed_distrust", "trust", "distrust", "was_trust", "was_distrust"), "ranks")
-        moved = after.agg(F.sum(F.abs(F.col("trust") - F.col("was_trust")) + F.abs(F.col("distrust") - F.col("was_distrust")))).first()[0] or 0.0
+        rises = lambda c: F.abs(F.col(c) - F.col(f"was_{c}")) > F.col(c) * tolerance + LEAST_CHANGE
+        settled = after.filter(rises("trust") | rises("distrust")).isEmpty()
         ranks = after.drop("was_trust", "was_distrust")
-        if moved <= tolerance:
+        if settled:
             return ranks.select("host", "trust", "distrust")
 
 

@@ -88,6 +88,16 @@ def test_spread_is_personalised_pagerank(spark):
         assert np.allclose([got[f"h{i}"][k] for i in range(n)], rank, atol=1e-7)
 
 
+def test_distrust_reaches_far_hosts_whatever_share_of_the_seeds_has_links(spark):
+    chain = [f"h{i}" for i in range(20)] + ["seed"]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in zip(chain, chain[1:], strict=False)], "src string, dst string, n bigint")
+    for alone in (0, 2_000):
+        seeds = [("seed", 0.0, 1.0)] + [(f"alone{i}", 1.0, 1.0) for i in range(alone)]
+        got = {r.host: r for r in hosts.spread(spark.createDataFrame(seeds, "host string, trust double, distrust double"), edges).collect()}
+        assert all(got[h].distrust > got[h].trust == 0 for h in chain)
+        assert np.isclose(got["h0"].distrust * (1 + alone), (1 - hosts.DAMPING) * hosts.DAMPING**20, rtol=1e-4)
+
+
 def _links(rows, cosine):
     out = {}
     for i, (_, a, la) in enumerate(rows):
