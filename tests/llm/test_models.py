@@ -111,6 +111,21 @@ def test_rates_meet_the_targets(sources, total):
     assert np.allclose(solved, got.rate, atol=1e-6)
 
 
+@pytest.mark.parametrize("wanted", [{"a": 0.125, "b": 0.875}, {"a": 0.01, "b": 0.99}, {"a": 0.2, "b": 0.7, "c": 0.1}])
+def test_enough_thins_no_document_whose_domain_is_doubtful(spark, wanted):
+    draw = random.Random(4)
+    colours = {"a": "one", "b": "red", "c": "sea"}
+    kinds = [draw.choice(sorted(wanted)) for _ in range(600)]
+    docs = spark.createDataFrame([(i, colours[k]) for i, k in enumerate(kinds)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, k if draw.random() < 0.85 else draw.choice(sorted(wanted))) for i, k in enumerate(kinds)], "doc_id bigint, domain string")
+    got = mixing.mixing_rates(docs, labels, wanted, "enough").toPandas()
+    assert got.rate.min() >= 1 and got.rate.max() > 1
+    shares = (got.rate.to_numpy() * got.tokens.to_numpy()) @ np.asarray([[r[d] for d in wanted] for r in got.posteriors])
+    if wanted["a"] > 0.05:  # else beyond what the probabilities have
+        assert np.allclose(shares / shares.sum(), list(wanted.values()), atol=2e-3)
+    assert {r.doc_id for r in mixing.mixed(docs, labels, wanted, "enough").collect()} == set(range(600))
+
+
 def test_targets_out_of_reach_are_met_as_nearly_as_possible(sources):
     got = mixing.mixing_rates(*sources, {"a": 1.0, "b": 0.0}).toPandas()
     p = np.asarray([[r["a"], r["b"]] for r in got.posteriors])
