@@ -143,6 +143,10 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 3 for i in [3, 7, *range(8, 60)]}, 199: 199, 200: 199}
 
 
+def test_pipeline_targets_are_not_fitted_to_a_table():
+    assert corpus_pipeline.MIXTURE == {"good": 0.88, "poor": 0.12}
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("score", F.lit("extra"))
