@@ -1,6 +1,6 @@
-"""Operator 9: documents whose sets of word n-grams are similar, by a blocked sparse product.
+"""Operator 9: documents whose sets of word n-grams are similar, by a prefix join in blocks of n-grams.
 
-The incidence of documents and n-grams is never multiplied out. Two sets can only reach the
+It stands in for a blocked sparse product: the incidence of documents and n-grams is never multiplied out, and no overlap counts are added up. Two sets can only reach the
 wanted similarity if they share one of the first few n-grams of each, in any fixed order; how
 many follows from the size, and where it stands in both bounds what else they share. These entries are dealt into blocks of n-grams. The documents of
 one n-gram are first compared with one of them only, which joins large groups of near copies
