@@ -20,6 +20,8 @@ from portolan.llm.shared import filled, mapped
 from portolan.llm.toxicity import labelled_sample
 
 PASSAGE_WORDS = 32
+#: Longer words are cut into pieces of so many characters, each a word of its own: text without white space has passages too.
+WORD_CHARS = 200
 SHAPES, HASHES = 512, 1024
 REPEATED, EMPTY = SHAPES + HASHES, SHAPES + HASHES + 1
 FEATURES = SHAPES + HASHES + 2
@@ -46,7 +48,7 @@ class Model:
 
 def shape(word: str) -> str:
     """A word with letters as a or A, digits as 0 and other characters kept, each run once."""
-    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c for c in word[:200])
+    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c for c in word)
     return _RUNS.sub(r"\1", kinds)
 
 
@@ -66,7 +68,7 @@ _CODES = _Codes()
 
 def bag(text: str) -> np.ndarray:
     """Feature ids of the passages of a text, one row per passage, three per word: shape, hash, repetition; -1 where there is none."""
-    words = text.split()
+    words = [w[i : i + WORD_CHARS] for w in text.split() for i in range(0, len(w), WORD_CHARS)]
     if not words:
         return np.full((1, 1), EMPTY)
     codes = np.fromiter(map(_CODES.__getitem__, words), dtype=np.int64, count=len(words))

@@ -67,6 +67,14 @@ def test_passages_are_weighed_within_their_text(labelled):
     assert np.mean([(s >= 0.5) == y for s, y in zip(whole, labelled[1][450:], strict=True)]) > 0.9
 
 
+def test_long_words_are_encoded_to_their_end():
+    word = "".join(random.Random(9).choices("abcXYZ019+/", k=20_000))
+    assert len(quality.bag(word)) == 4  # 100 pieces, 32 to a passage
+    pieces = [word[i : i + 200] for i in range(0, len(word), 200)]
+    assert (quality.bag(word) == quality.bag(" ".join(pieces))).all()
+    assert (quality.bag("short words") == quality.bag(" short  words")).all() and len(quality.bag("short words")) == 1
+
+
 def test_labelled_sample_is_bounded_and_obeys_the_split(spark):
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
     texts, values = toxicity.labelled_sample(docs, labels, "toxic", toxicity.learnt_rows(5, 0), 50, 10**9)
