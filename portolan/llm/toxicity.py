@@ -27,6 +27,8 @@ LEVEL, LEAST_MATCH = 6, 5
 COMMON_BYTES, OWN_BYTES = 30_000, 16_000
 #: Labelled texts fetched for training, at most, and how long they may be together: the bound of what the driver holds.
 SAMPLE_TEXTS, SAMPLE_CHARS = 8_000, 40_000_000
+#: Windows of these texts that train the passages common to both kinds, at most: of more, every k-th of either kind.
+COMMON_WINDOWS = 100_000
 #: Texts with a word times the log of its ratio between the kinds, at least: below it chance finds too many words.
 LEAST_GAIN = 18
 _STOPS = b".,;:!?|*#%&$"
@@ -115,10 +117,11 @@ def _telling(own: list[list[bytes]], other: list[list[bytes]]) -> bytes:
 
 def _common(texts: list[list[bytes]]) -> bytes:
     samples = [w for words in texts for w in windows(words, b"")]
+    samples = samples[:: max(1, -(-len(samples) // COMMON_WINDOWS))]
     size = COMMON_BYTES
     while size >= 256:
         try:
-            return zstandard.train_dictionary(size, samples[:100_000], level=3).as_bytes()
+            return zstandard.train_dictionary(size, samples, level=3).as_bytes()
         except zstandard.ZstdError:  # too few samples for this size
             size //= 2
     return b" ".join(samples)[:COMMON_BYTES]

@@ -35,6 +35,17 @@ def test_toxicity_finds_held_out_texts(labelled):
     assert all(0 <= scorer.score(t) <= 1 for t in ("", " ", "x", texts[0] * 50))
 
 
+def test_common_passages_are_of_both_kinds_however_many_windows(labelled, monkeypatch):
+    monkeypatch.setattr(toxicity, "COMMON_WINDOWS", 400, raising=False)
+    seen = []
+    train = toxicity.zstandard.train_dictionary
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples, **how: seen.append(samples) or train(size, samples, **how))
+    texts = [["ordinary"] * 80 + [t] for t in labelled[0][:300]] + [["vile"] * 80 + [t] for t in labelled[0][300:360]]
+    toxicity._common([[w.encode() for w in t] for t in texts])
+    kinds = [sum(word in w for w in seen[0]) for word in (b" ordinary ", b" vile ")]
+    assert sum(kinds) <= 400 and 4 < kinds[0] / kinds[1] < 6
+
+
 @pytest.mark.parametrize("labels", [[], [0] * 40, [1] * 40, [0, 1]])
 def test_models_without_both_kinds(labelled, labels):
     texts = labelled[0][: len(labels)]
