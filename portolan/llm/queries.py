@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import ego, fingerprints, hosts, jaccard, mixing, packing, pii, quality, tokens, toxicity
+from portolan.llm import ego, fingerprints, hosts, jaccard, mixing, packing, pii, quality, spelling, tokens, toxicity
 from portolan.llm.registry import query
 from portolan.llm.shared import read
 
@@ -157,3 +157,37 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = mixing.mixing_rates(read(spark, sf_dir, "documents"), mixing.domains_of(read(spark, sf_dir, "labels")), MIXTURE)
     parts = [F.coalesce(F.col("posteriors")[d], F.lit(0.0)).alias(f"p_{d}") for d in MIXTURE]
     return rates.select("doc_id", "tokens", "rate", *parts)
+
+
+#: DuckDB's levenshtein compares bytes, so the letters beyond ASCII are given one byte each.
+_ONE_BYTE = ("".join(map(chr, range(0xC0, 0x100))), "".join(c for c in map(chr, range(0x20, 0x7F)) if not c.islower() and c != "'")[:64])
+
+OP11_SQL = f"""
+WITH RECURSIVE
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS k FROM r WHERE len(run) >= 7 GROUP BY ALL),
+b AS (SELECT run, k, list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END) AS b FROM c),
+h AS (SELECT run, k, xor(list_reduce(flatten(b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM b, crc),
+o AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM o WHERE len(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+x AS (SELECT word, n, unnest([len(word), len(word) - 1]) AS m FROM w),
+y AS (SELECT word, n, m, unnest([substr(word, 1, m // 2), '-' || substr(word, len(word) - (m - m // 2) + 1)]) AS part FROM x),
+p AS (SELECT DISTINCT a.word, b.word AS near, b.n FROM y AS a JOIN y AS b ON a.m = b.m AND a.part = b.part AND a.word <> b.word AND abs(len(a.word) - len(b.word)) < 2 WHERE levenshtein(translate(a.word, '{_ONE_BYTE[0]}', '{_ONE_BYTE[1]}'), translate(b.word, '{_ONE_BYTE[0]}', '{_ONE_BYTE[1]}')) = 1),
+q AS (SELECT word, count(*) AS n_near, min({{'n': -n, 'w': near}}) AS best FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 10 * w.n THEN best.w END AS form, CASE WHEN -best.n >= 10 * w.n THEN -best.n END AS form_n FROM w LEFT JOIN q USING (word)),
+s(word, root) AS (SELECT word, word FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, s.root, n, n_near, form_n FROM f JOIN s USING (word) WHERE s.root IN (SELECT word FROM f WHERE form IS NULL)
+"""
+
+
+def _one_in_31_short(doc_id: Column, run: Column) -> Column:
+    """A run as it is spelled in a document: where 31 divides the crc32 of both, one code point is missing."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    at = F.pmod(h, F.length(run)).cast("int")
+    return F.when(h % 31 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(read(spark, sf_dir, "documents"), _one_in_31_short))
