@@ -181,7 +181,7 @@ SELECT f.word, form, s.root, n, n_near, form_n FROM f JOIN s USING (word) WHERE
 """
 
 
-def _one_in_31_short(doc_id: Column, run: Column) -> Column:
+def one_in_31_short(doc_id: Column, run: Column) -> Column:
     """A run as it is spelled in a document: where 31 divides the crc32 of both, one code point is missing."""
     h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
     at = F.pmod(h, F.length(run)).cast("int")
@@ -190,7 +190,7 @@ def _one_in_31_short(doc_id: Column, run: Column) -> Column:
 
 @query("op11_spelling_variants", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling.spelling_variants(spelling.word_counts(read(spark, sf_dir, "documents"), _one_in_31_short))
+    return spelling.spelling_variants(spelling.word_counts(read(spark, sf_dir, "documents"), one_in_31_short))
 
 
 OP12_SQL = """
