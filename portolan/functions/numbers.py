@@ -135,11 +135,12 @@ def money_text(value) -> Column:
 
 
 def plain_text(value) -> Column:
-    """A double in full without trailing zeros, for logs and hashes.
+    """A number as a double in full without trailing zeros, for logs and hashes.
 
-    There is no exponent unless the number has over 19 places on one side of the point.
+    There is no exponent unless the number has over 19 places on one side of the point. What is not
+    a number is ``NaN``, the infinite ones are ``Infinity`` and ``-Infinity``, NULL stays NULL.
     """
-    value = as_column(value)
+    value = as_column(value).cast("double")
     shortest = value.cast("string")
     plain = shortest.try_cast("decimal(38,19)")
     shown = F.regexp_replace(F.regexp_replace(plain.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ".0")

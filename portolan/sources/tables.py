@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +35,18 @@ def scan_folder(spark: SparkSession, path: str) -> DataFrame:
     return describe_files(files)
 
 
-def write_tables(tables: dict[str, DataFrame], root: str, partition_by: dict[str, list[str]] | None = None) -> str:
+_VERSION_ROW = "version string, written_at timestamp, job string, batch bigint"
+
+
+def write_tables(
+    tables: dict[str, DataFrame], root: str, partition_by: dict[str, list[str]] | None = None, commit: tuple[str, int] | None = None
+) -> str:
     """Write a new version of the given tables and point to it.
 
     Every version is a folder of its own, so readers of the previous one and
     jobs that derive the new version from it are not disturbed.  The pointer is
-    a one-row table, replaced last.
+    a one-row table, written last; it may name the (job, batch) that the version
+    completes, see ``committed``.
     """
     version = f"v{int(time.time() * 1000)}"
     for name, df in tables.items():
@@ -47,16 +54,32 @@ def write_tables(tables: dict[str, DataFrame], root: str, partition_by: dict[str
         keys = (partition_by or {}).get(name)
         (writer.partitionBy(*keys) if keys else writer).parquet(f"{root}/{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written_at")).coalesce(1).write.mode("append").json(
-        f"{root}/_versions"
+    job, batch = commit or (None, None)
+    row = spark.range(1).select(
+        F.lit(version).alias("version"), F.current_timestamp().alias("written_at"), F.lit(job).cast("string").alias("job"), F.lit(batch).cast("bigint").alias("batch")
     )
+    row.coalesce(1).write.mode("append").json(f"{root}/_versions")
     return version
 
 
-def current_version(spark: SparkSession, root: str) -> str:
-    """The version written last (one short row per version)."""
-    versions = spark.read.schema("version string, written_at timestamp").json(f"{root}/_versions")
-    return versions.agg(F.max("version")).first()[0]
+def _versions(spark: SparkSession, root: str) -> DataFrame:
+    """One short row per version, none where nothing was written yet."""
+    try:
+        return spark.read.schema(_VERSION_ROW).json(f"{root}/_versions")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _VERSION_ROW)
+
+
+def committed(spark: SparkSession, root: str, job: str, batch: int) -> bool:
+    """Whether a version completes this batch of the job."""
+    return not _versions(spark, root).filter((F.col("job") == job) & (F.col("batch") == batch)).isEmpty()
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The version written last, None where there is none."""
+    return _versions(spark, root).agg(F.max("version")).first()[0]
 
 
 def read_tables(spark: SparkSession, root: str, names: list[str], version: str | None = None) -> dict[str, DataFrame]:

@@ -46,13 +46,23 @@ def test_page_stream_with_bounded_state(spark, tmp_path):
     src = str(tmp_path / "pages")
     rows = [(1, 1, "t", "OCR", "a.pdf", "h1", 3), (2, 1, "t", "OCR", "b.pdf", "h1", 3)]
     spark.createDataFrame(rows, watch.PAGE_SCHEMA).write.parquet(src)
-    stream = watch.watch_pages(spark, src).withColumn("seen_at", F.current_timestamp())
-    once = watch.dedupe_stream(stream, ("seen_at", "1 day"))
+    once = watch.dedupe_stream(watch.watch_pages(spark, src), "1 day")
     seen = []
     watch.start(once, lambda b, e: seen.extend(r.file_hash for r in b.collect()), str(tmp_path / "c"), available_now=True).awaitTermination()
     assert seen == ["h1"]
 
 
+def test_state_of_seen_files_is_bounded(spark, tmp_path):
+    src, rows = str(tmp_path / "pages"), []
+    for k in range(10):
+        batch = [(k * 20 + i, 1, "t", "OCR", "a.pdf", f"h{k}-{i}", 3) for i in range(20)]
+        spark.createDataFrame(batch, watch.PAGE_SCHEMA).write.mode("append").parquet(src)
+        query = watch.start(watch.dedupe_stream(watch.watch_pages(spark, src), "1 second"), lambda b, e: b.count(), str(tmp_path / "c"), available_now=True)
+        query.awaitTermination()
+        rows.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]))
+    assert max(rows) <= 60, rows
+
+
 def test_quarantine_and_pending(spark, tmp_path):
     results = spark.createDataFrame(
         [("a.pdf", "PROCESADO", None, "A", "I1"), ("b.pdf", "ERROR", "boom", None, None), ("c.pdf", "PROCESADO", None, "A", None), ("d.pdf", "PROCESADO", None, "B", None)],
