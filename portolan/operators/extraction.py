@@ -253,7 +253,7 @@ def documents(pages: DataFrame) -> DataFrame:
 
 
 def _item(tier, item_no, hs_code, raw, brand, quantity, unit, value, page, subitem_no=None, net_weight=None,
-          origin=None, provenance=None, signs_before=None, signs_inside=None) -> Column:
+          origin=None, provenance=None, signs_before=None, signs_inside=None, dropped=None) -> Column:
     """A goods line as found, in the shape common to all layouts."""
     none_int, none_text, none_double = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("double")
 
@@ -271,6 +271,7 @@ def _item(tier, item_no, hs_code, raw, brand, quantity, unit, value, page, subit
         unit.alias("unit"),
         given(net_weight, none_double).alias("net_weight"),
         value.alias("value"),
+        given(dropped, none_double).alias("dropped_value"),
         given(origin, none_text).alias("origin"),
         given(provenance, none_text).alias("provenance"),
         given(page, none_int).alias("page"),
@@ -439,8 +440,11 @@ def _state_block(b: Column) -> Column:
     return let(state_at, read)
 
 
-def _grid_block(header: Column, page: Column, b: Column) -> Column:
-    """One block of the grid layout; NULL where nothing in it is worth keeping."""
+def _grid_block(header: Column, page: Column, b: Column, value_limit: float) -> Column:
+    """One block of the grid layout; NULL where nothing in it is worth keeping.
+
+    A value above ``value_limit`` counts as misread: it is set aside as the line's ``dropped_value``, and the value is 0.
+    """
     title = fv.BLOCK_HEADER_PATTERN
     code = F.coalesce(blank_to_null(_part(header, title, 3)), _first(b, lambda x: _matches(x, fv.BLOCK_CODE_PATTERN)))
     fob_at = F.array_position(F.transform(b, F.upper), "FOB FACTURA").cast("int")
@@ -465,7 +469,7 @@ def _grid_block(header: Column, page: Column, b: Column) -> Column:
                 2, _part(header, title, 1).try_cast("int"), p["code"], F.coalesce(name, F.lit("")),
                 F.when(no_brand, fv.NO_BRAND_LABEL).otherwise(brand), F.coalesce(multi["quantity"], line["quantity"]),
                 F.coalesce(multi["unit"], line["unit"], F.lit("UNIDAD")),
-                F.when(value > fv.BLOCK_VALUE_LIMIT, F.lit(0.0)).otherwise(value), page,
+                F.when(value > value_limit, F.lit(0.0)).otherwise(value), page, dropped=F.when(value > value_limit, value),
                 net_weight=p["state"]["net_weight"], origin=p["state"]["origin"], provenance=p["state"]["provenance"],
             ),
         )
@@ -473,11 +477,30 @@ def _grid_block(header: Column, page: Column, b: Column) -> Column:
     return let(parts, combine)
 
 
-def _grid_items(pages: Column) -> Column:
+def _first_come_blocks(candidates: Column) -> Column:
+    """Those of rising ``candidates`` (field ``at``) that are not within two lines behind one that is kept.
+
+    Each candidate is written as one letter for its distance to the next: a (1 line), b (2) or c (more).
+    From left to right a kept one takes along what is within two lines: "aa" two further letters, "a" or "b" one.
+    """
+
+    def letters(c: Column) -> Column:
+        gap = F.transform(c, lambda x, i: F.coalesce(F.get(c, i + 1)["at"] - x["at"], F.lit(3)))
+        return F.array_join(F.transform(gap, lambda g: F.when(g == 1, "a").when(g == 2, "b").otherwise("c")), "")
+
+    def flags(c: Column) -> Column:
+        taken = F.regexp_extract_all(letters(c), F.lit("aa.?|[ab].?|c"), F.lit(0))
+        return F.split(F.array_join(F.transform(taken, lambda t: F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(t) - 1))), ""), "")
+
+    return let(flags(candidates), lambda kept: F.filter(candidates, lambda c, i: F.get(kept, i) == "1"))
+
+
+def _grid_items(pages: Column, value_limit: float = fv.BLOCK_VALUE_LIMIT, max_lines: int = fv.BLOCK_MAX_LINES) -> Column:
     """Layout 2: blocks that start with n/total.
 
-    A block runs to the next block start behind its second line, at most 44
-    lines.  A start inside a kept block is not a start of its own.
+    A block runs to the next block start behind its second line, at most ``max_lines``
+    lines.  A start inside a kept block is not a start of its own: with blocks that end where
+    the next one starts these are starts in its first two lines. The work grows with the lines.
     """
     lines = F.flatten(
         F.transform(pages, lambda p: F.transform(goods_text_lines(p["text"]), lambda t: F.struct(t.alias("t"), p["page_num"].alias("page"))))
@@ -489,25 +512,17 @@ def _grid_items(pages: Column) -> Column:
         )
 
         def read(hs: Column) -> Column:
-            def one(h: Column) -> Column:
-                behind = F.array_min(F.filter(hs, lambda k: k > h + 2))
-                end = F.least(F.coalesce(behind, F.size(all_lines)), F.size(all_lines), h + fv.BLOCK_MAX_LINES + 1)
+            def one(h: Column, i: Column) -> Column:
+                # at most two starts lie within two lines, so the end is one of the next three
+                later = [F.get(hs, i + k) for k in (1, 2, 3)]
+                behind = F.coalesce(*[F.when(k > h + 2, k) for k in later])
+                end = F.least(F.coalesce(behind, F.size(all_lines)), F.size(all_lines), h + max_lines + 1)
                 body = F.transform(F.slice(all_lines, h + 2, end - h - 1), lambda x: x["t"])
                 head = F.get(all_lines, h)
-                return F.struct(h.alias("at"), end.alias("end"), let(body, lambda b: _grid_block(head["t"], head["page"], b)).alias("item"))
+                return F.struct(h.alias("at"), let(body, lambda b: _grid_block(head["t"], head["page"], b, value_limit)).alias("item"))
 
             found = F.filter(F.transform(hs, one), lambda c: c["item"].isNotNull())
-
-            def keep(state: Column, c: Column) -> Column:
-                taken = F.struct(c["end"].alias("next"), F.array_append(state["kept"], c["at"]).alias("kept"))
-                return F.when(c["at"] >= state["next"], taken).otherwise(state)
-
-            def select(candidates: Column) -> Column:
-                start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("kept"))
-                kept = F.aggregate(candidates, start, keep)["kept"]
-                return F.transform(F.filter(candidates, lambda c: F.array_contains(kept, c["at"])), lambda c: c["item"])
-
-            return let(found, select)
+            return let(found, lambda candidates: F.transform(_first_come_blocks(candidates), lambda c: c["item"]))
 
         return let(heads, read)
 
@@ -537,68 +552,83 @@ def _standard_items(pages: Column) -> Column:
     return F.flatten(F.transform(pages, of_page))
 
 
+#: Characters before and behind a code that are searched for its amount, and the shortest code.
+_RESCUE_BEFORE, _RESCUE_BEHIND, _RESCUE_CODE = 100, 300, 14
+
+
 def _rescue_items(pages: Column) -> Column:
-    """Layout 4: any HS code in the text, with an amount from its surroundings."""
+    """Layout 4: any HS code in the text, with an amount from its surroundings.
+
+    The surroundings are put together from the ends of the texts between codes, of which only
+    so many can lie within them; so no position is looked up from the start of the page.
+    """
     regex = "(?U)" + fv.RESCUE_CODE_PATTERN
+    few_before, few_behind = -(-_RESCUE_BEFORE // _RESCUE_CODE), -(-_RESCUE_BEHIND // _RESCUE_CODE)
 
     def of_page(p: Column) -> Column:
         text = p["text"]
 
-        def pairs(codes: Column) -> Column:
-            gaps = F.slice(F.split(text, regex, -1), F.lit(1), F.size(codes))
-            return F.zip_with(codes, gaps, lambda c, g: F.struct(c.alias("code"), F.length(g).alias("gap")))
+        def around(codes: Column) -> Column:
+            def with_gaps(gaps: Column) -> Column:
+                tails = F.transform(gaps, lambda g: F.right(g, F.lit(_RESCUE_BEFORE)))
+                starts = F.transform(gaps, lambda g: F.left(g, F.lit(_RESCUE_BEHIND)))
+                # what stands before code i ends with gap i; what stands behind it starts with gap i + 1
+                left = F.zip_with(F.concat(F.array(F.lit("")), codes), tails, lambda c, g: F.concat(c, g))
+                right = F.zip_with(codes, F.slice(starts, F.lit(2), F.size(codes)), lambda c, g: F.concat(c, g))
 
-        def step(state: Column, pair: Column) -> Column:
-            start = state["end"] + pair["gap"]
-            place = F.struct(pair["code"].alias("code"), start.alias("start"))
-            return F.struct((start + F.length(pair["code"])).alias("end"), F.array_append(state["out"], place).alias("out"))
+                return let(F.struct(left.alias("l"), right.alias("r")), lambda s: F.transform(codes, lambda c, i: _rescue_place(c, i, s["l"], s["r"], few_before, few_behind)))
 
-        def place_all(found: Column) -> Column:
-            zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<code:string,start:int>>").alias("out"))
-            return F.aggregate(found, zero, step)["out"]
+            return let(F.split(text, regex, -1), with_gaps)
 
-        def one(c: Column) -> Column:
-            begin = F.greatest(c["start"] - 100, F.lit(0))
-            end = c["start"] + F.length(c["code"]) + 300
-            around = F.substring(text, begin + 1, end - begin)
-            amount = blank_to_null(F.regexp_extract(around, RX + fv.RESCUE_FOB_PATTERN, 1))
+        def item(c: Column) -> Column:
+            amount = blank_to_null(F.regexp_extract(c["around"], RX + fv.RESCUE_FOB_PATTERN, 1))
             return _item(
                 4, F.lit(0), c["code"], F.lit(""), F.lit(fv.NO_BRAND_LABEL), F.lit(1.0), F.lit("UNIDAD"),
                 numbers.parse_currency(amount), p["page_num"],
             )
 
-        found = let(F.regexp_extract_all(text, F.lit(regex), F.lit(1)), pairs)
-        return F.transform(let(found, place_all), one)
+        return F.transform(let(F.regexp_extract_all(text, F.lit(regex), F.lit(1)), around), item)
 
     return F.flatten(F.transform(pages, of_page))
 
 
+def _rescue_place(code: Column, i: Column, left: Column, right: Column, few_before: int, few_behind: int) -> Column:
+    """A code and the text around it, from the texts that end before each code and start behind it."""
+    first = F.greatest(i - few_before, F.lit(0))
+    before = F.right(F.array_join(F.slice(left, first + 1, i - first + 1), ""), F.lit(_RESCUE_BEFORE))
+    behind = F.substring(F.array_join(F.slice(right, i + 1, F.lit(few_behind + 1)), ""), F.lit(1), F.length(code) + _RESCUE_BEHIND)
+    return F.struct(code.alias("code"), F.concat(before, behind).alias("around"))
+
+
 _LAYOUTS = {"subitems": _subitems, "grid": _grid_items, "standard": _standard_items, "codes": _rescue_items}
 
 
 @functools.cache
-def _document_items(layouts: tuple[str, ...]) -> Column:
+def _document_items(layouts: tuple[str, ...], value_limit: float, max_lines: int) -> Column:
     """The goods lines of a document row; an expression by name, built once per process."""
-    return _first_layout_with_items(F.col("pages"), layouts)
+    return _first_layout_with_items(F.col("pages"), layouts, {"grid": (value_limit, max_lines)})
 
 
-def _first_layout_with_items(pages: Column, layouts) -> Column:
+def _first_layout_with_items(pages: Column, layouts, limits: dict[str, tuple]) -> Column:
     """The goods lines of the first layout that yields any; later ones are not tried."""
     name, *rest = layouts
-    found = _LAYOUTS[name](pages)
+    found = _LAYOUTS[name](pages, *limits.get(name, ()))
     if not rest:
         return found
-    return let(found, lambda items: F.when(F.size(items) > 0, items).otherwise(_first_layout_with_items(pages, rest)))
+    return let(found, lambda items: F.when(F.size(items) > 0, items).otherwise(_first_layout_with_items(pages, rest, limits)))
 
 
-def extract_items(pages: DataFrame, layouts=tuple(_LAYOUTS)) -> DataFrame:
+def extract_items(pages: DataFrame, layouts=tuple(_LAYOUTS), value_limit: float = fv.BLOCK_VALUE_LIMIT, max_lines: int = fv.BLOCK_MAX_LINES) -> DataFrame:
     """Goods lines of all documents, each read in the first layout that fits it.
 
-    One exchange brings the pages of a document together; everything behind it,
-    including the running page count, keeps that partitioning.
+    One exchange brings the pages of a document together (an upload is at most 50 MB, see ``validate_upload``);
+    everything behind it, including the running page count, keeps that partitioning, and the work of each layout
+    grows with the text.  ``value_limit`` and ``max_lines`` are rules of the grid layout: a larger value counts as
+    misread (it is kept as ``dropped_value``), and a block has no more lines.
     """
     docs = documents(pages)
-    found = docs.select("doc_id", F.transform("pages", lambda p: p["page_num"]).alias("_pages"), _document_items(tuple(layouts)).alias("_items"))
+    items = _document_items(tuple(layouts), float(value_limit), int(max_lines))
+    found = docs.select("doc_id", F.transform("pages", lambda p: p["page_num"]).alias("_pages"), items.alias("_items"))
     rows = found.select("doc_id", "_pages", F.posexplode("_items").alias("seq", "i")).select("doc_id", "_pages", "seq", "i.*")
 
     from pyspark.sql import Window
@@ -638,6 +668,7 @@ def finish_items(found: DataFrame) -> DataFrame:
         "net_weight",
         F.when(tier == 4, value).otherwise(per_unit).alias("unit_value"),
         value.alias("total_value"),
+        "dropped_value",
         "origin",
         "provenance",
         "page",
@@ -654,6 +685,6 @@ def representative_items(headers: DataFrame, items: DataFrame) -> DataFrame:
         F.lit(fv.HS_REPRESENTATIVE_CODE).alias("hs_code"), F.lit(None).cast("string").alias("product_code"),
         text.alias("description"), F.coalesce(blank_to_null("exporter"), F.lit("General")).alias("brand"),
         F.lit(1.0).alias("quantity"), F.lit("UNIDAD").alias("unit"), "net_weight",
-        F.when(fob > 0, fob).alias("unit_value"), F.greatest(fob, F.lit(0.0)).alias("total_value"),
+        F.when(fob > 0, fob).alias("unit_value"), F.greatest(fob, F.lit(0.0)).alias("total_value"), F.lit(None).cast("double").alias("dropped_value"),
         F.col("exporter_country").alias("origin"), F.lit(None).cast("string").alias("provenance"), F.lit(1).alias("page"),
     )

@@ -191,6 +191,58 @@ def scan_counters(spark, sf):
     return agg.scan_counters(_process(spark, sf)["results"])
 
 
+_SCAN = _FLOW + """
+, scan AS (SELECT *, CASE WHEN known THEN 'OMITIDO' WHEN refused THEN 'ERROR' ELSE 'PROCESADO_EXITOSO' END AS scan_status FROM outcome),
+start AS (SELECT max(id) AS last FROM dispatches WHERE id % 37 = 2),
+fresh AS (SELECT scan.*, last + row_number() OVER (ORDER BY upload_name) AS new_id FROM scan, start WHERE scan_status = 'PROCESADO_EXITOSO')
+"""
+
+
+def _folder_batch(spark, sf):
+    """All files in one batch of the folder job; those with id % 37 = 2 are registered, the replica holds another part."""
+    from portolan.streaming import folder_job
+
+    d = st.dispatches(spark, sf)
+    files, pages = _files(spark, sf), sp.document_pages(spark, sf)
+    listed = files.select("file_name", "file_hash", "bytes", F.lit("in").alias("source_path"))
+    tables = {name: folder_job.empty_table(spark, name) for name in folder_job.TABLES} | {"dispatches": d.filter("id % 37 = 2")}
+    texts = pages.join(files.select("doc_id", "file_hash"), "doc_id").drop("doc_id")
+    rules = spark.createDataFrame([], "pattern string, target string")
+    there = d.filter("id % 37 = 3").withColumn("id", F.col("id") * 2)
+    remote = {"dispatches": there, "items": st.items(spark, sf).filter("dispatch_id % 37 = 3").withColumn("dispatch_id", F.col("dispatch_id") * 2)}
+    return folder_job.folder_batch(listed, texts, tables, rules, f"{TODAY} 10:00:00", "Carpeta", 4, remote)
+
+
+@query("folder_batch_status", with_tables(_SCAN + """
+, counts AS (SELECT doc_id, count(*) AS n FROM mixed GROUP BY 1)
+SELECT upload_name AS file_name, scan_status AS status, CASE WHEN known THEN 'Ya existe por nombre de archivo (Despacho Nº ' || scan.number || ')'
+    WHEN wrong_type THEN 'Solo se permiten archivos PDF' WHEN too_large THEN 'El archivo supera el límite de 50 MB' END AS message,
+  CASE WHEN known THEN scan.id ELSE fresh.new_id END AS dispatch_id, fresh.number, upper(fresh.importer) AS importer,
+  CASE WHEN fresh.id IS NOT NULL THEN coalesce(counts.n, 1) END AS items, CAST(4 AS BIGINT) AS batch
+FROM scan LEFT JOIN fresh USING (upload_name) LEFT JOIN counts ON fresh.id = doc_id"""))
+def folder_batch_status(spark, sf):
+    return _folder_batch(spark, sf)["scan_status"]
+
+
+@query("folder_batch_dispatches", with_tables(_SCAN + """
+SELECT id, number, file_name, file_hash, status, cif FROM dispatches WHERE id % 37 = 2
+UNION ALL SELECT new_id, number, upload_name, file_hash, new_status, new_cif FROM fresh"""))
+def folder_batch_dispatches(spark, sf):
+    return _folder_batch(spark, sf)["dispatches"].select("id", "number", "file_name", "file_hash", "status", "cif")
+
+
+@query("folder_batch_replica", with_tables(_SCAN + """
+, r AS (SELECT number FROM dispatches WHERE id % 37 = 3 UNION SELECT number FROM fresh),
+lines AS (SELECT fresh.number, count(*) AS n FROM fresh JOIN mixed ON fresh.id = doc_id GROUP BY 1),
+old AS (SELECT number, count(*) AS n FROM dispatches d JOIN items i ON dispatch_id = d.id WHERE d.id % 37 = 3 GROUP BY 1)
+SELECT r.number, CASE WHEN fresh.id IS NOT NULL THEN coalesce(lines.n, 1) ELSE coalesce(old.n, 0) END AS items
+FROM r LEFT JOIN fresh USING (number) LEFT JOIN lines USING (number) LEFT JOIN old USING (number)"""))
+def folder_batch_replica(spark, sf):
+    out = _folder_batch(spark, sf)
+    lines = out["remote_items"].groupBy(F.col("dispatch_id").alias("id")).agg(F.count("*").alias("items"))
+    return out["remote_dispatches"].join(lines, "id", "left").select("number", F.coalesce("items", F.lit(0)).alias("items"))
+
+
 @query("document_method", with_tables("""
 , p AS (SELECT id AS doc_id, 1 AS page FROM dispatches UNION SELECT DISTINCT l_orderkey, l_linenumber + 1 FROM lineitem)
 SELECT doc_id, CASE WHEN doc_id % 25 = 0 OR (doc_id % 10 = 0 AND min(page) > 1) THEN 'OCR' WHEN doc_id % 10 = 0 AND max(page) > 1 THEN 'MIXTO'

@@ -10,7 +10,7 @@ from portolan.queries.imports import sample_sheet_items
 from portolan.queries.oracle_tables import with_tables
 from portolan.queries.registry import query
 from portolan.sources import sample_tables as st
-from portolan.streaming import watch
+from portolan.streaming import folder_job, watch
 
 
 @query("export_dispatches", with_tables("""
@@ -163,6 +163,24 @@ def unified_sync_added(spark, sf):
     return watch.unified_sync(heads.filter("id % 4 = 0"), local, remote)["added"]
 
 
+@query("scan_outcomes", with_tables("""
+SELECT file_name, CASE id % 5 WHEN 0 THEN 'OMITIDO' WHEN 1 THEN 'OMITIDO' WHEN 2 THEN 'ERROR' WHEN 3 THEN 'PROCESADO_EXITOSO' ELSE 'ENCONTRADO' END AS status,
+  CASE id % 5 WHEN 0 THEN 'Ya existe por nombre de archivo (Despacho Nº ' || number || ')' WHEN 1 THEN 'Ya registrado previamente por contenido idéntico (Despacho Nº ' || id || ')'
+    WHEN 2 THEN 'sin páginas' END AS message,
+  CASE WHEN id % 5 IN (0, 1) THEN id WHEN id % 5 = 3 THEN -id END AS dispatch_id, CASE WHEN id % 5 = 3 THEN number END AS number,
+  CASE WHEN id % 5 = 3 THEN importer END AS importer, CASE WHEN id % 5 = 3 THEN id % 9 END AS items
+FROM (SELECT id, number, importer, CASE WHEN id % 5 = 0 THEN file_name ELSE 'f' || id || '.pdf' END AS file_name FROM dispatches)"""))
+def scan_outcomes(spark, sf):
+    d = st.dispatches(spark, sf)
+    key = F.col("id") % 5
+    files = d.select(F.when(key == 0, F.col("file_name")).otherwise(F.format_string("f%d.pdf", "id")).alias("file_name"), "file_hash", F.lit("in").alias("source_path"))
+    registered = d.filter("id % 5 < 2").withColumn("file_hash", F.when(key == 1, F.col("file_hash"))).withColumn("number", F.when(key == 0, F.col("number")))
+    failed = d.filter("id % 5 = 2").select(F.format_string("f%d.pdf", "id").alias("file_name"), F.lit("sin páginas").alias("message"))
+    done = d.filter("id % 5 = 3").select("file_hash", F.format_string("f%d.pdf", "id").alias("first_name"), F.lit("in").alias("first_path"), F.lit("PROCESADO_EXITOSO").alias("outcome"),
+                                         F.lit(None).cast("string").alias("reason"), (-F.col("id")).alias("new_id"), F.col("number").alias("new_number"), F.col("importer").alias("new_importer"), (F.col("id") % 9).alias("items"))
+    return folder_job.scan_outcomes(files, registered, failed, done)
+
+
 @query("display_values", with_tables("""
 SELECT id, CASE channel WHEN 'VERDE' THEN 'green' WHEN 'NARANJA' THEN 'orange' ELSE 'red' END AS light,
   CASE WHEN confidence >= 0.9 THEN 'green' WHEN confidence >= 0.7 THEN 'amber' ELSE 'red' END AS band, substr(number, 1) AS file_number FROM dispatches"""))
