@@ -59,40 +59,32 @@ def new_groups(groups: DataFrame, dispatches: DataFrame) -> DataFrame:
     return groups.join(known, same, "left_anti")
 
 
-def _smallest_id(dispatches: DataFrame, key, name: str) -> DataFrame:
-    """One registered id per key value."""
-    keyed = dispatches.select(key.alias(name), "id").filter(F.col(name).isNotNull() & (F.col(name) != ""))
-    return keyed.groupBy(name).agg(F.min("id").alias(f"{name}_id"))
-
-
 def match_file_to_dispatch(files: DataFrame, dispatches: DataFrame) -> DataFrame:
     """Which registered declaration a file belongs to, and how that was found.
 
     ``files`` has file_name and file_hash.  The tests run in this order: original
     name, last part of the stored path, declaration number inside the name,
-    content hash.  Each is an equi-join against one id per key.  A stored file
+    content hash.  All keys are one index (kind, key, smallest id), joined once.  A stored file
     name ends with the original name behind "{time}_{hash}_", so the stored name
     without that prefix is compared for equality.
     """
     stored = F.regexp_replace(F.element_at(F.split("stored_path", "/"), -1), r"^[0-9]+_[0-9a-f]{8}_", "")
-    found = (
-        files.withColumn("file_name", F.trim("file_name"))
-        .withColumn("by_name", F.col("file_name"))
-        .withColumn("by_path", F.col("file_name"))
-        .withColumn("by_number", number_from_filename("file_name"))
-        .withColumn("by_hash", F.col("file_hash"))
-    )
-    keys = {"by_name": F.col("file_name"), "by_path": stored, "by_number": F.col("number"), "by_hash": F.col("file_hash")}
-    for name, key in keys.items():
-        # files without the key match nothing; a text of their own keeps them from meeting in one partition
-        found = found.withColumn(name, F.coalesce(name, F.concat(F.lit("\u0000"), F.coalesce("file_name", F.lit("")))))
-        found = found.join(_smallest_id(dispatches, key, name), name, "left")
-    ids = [F.col(f"{name}_id") for name in keys]
-    reason = None
-    for name, label in zip(keys, ("name", "path", "number", "hash")):
-        hit = F.col(f"{name}_id").isNotNull()
-        reason = F.when(hit, label) if reason is None else reason.when(hit, label)
-    return found.select(*files.columns, F.coalesce(*ids).alias("dispatch_id"), reason.alias("matched_by"))
+
+    def stacked(df: DataFrame, *keys) -> DataFrame:
+        entries = F.array(*(F.struct(F.lit(rank).alias("_kind"), key.alias("_key")) for rank, key in enumerate(keys)))
+        return df.select("*", F.inline(entries)).filter("_key IS NOT NULL AND _key <> ''")
+
+    headers = dispatches.select("id", "file_name", "stored_path", "number", "file_hash")
+    index = stacked(headers, F.col("file_name"), stored, F.col("number"), F.col("file_hash")).groupBy("_kind", "_key").agg(F.min("id").alias("_id"))
+    named = files.withColumn("file_name", F.trim("file_name"))
+    name = F.col("file_name")
+    listed = stacked(named.select("file_name", "file_hash").distinct(), name, name, number_from_filename("file_name"), F.col("file_hash"))
+    best = F.min(F.struct("_kind", "_id")).alias("_best")
+    found = listed.join(index, ["_kind", "_key"]).groupBy("file_name", "file_hash").agg(best)
+    found = found.select(F.coalesce("file_name", F.lit("")).alias("_name"), F.coalesce("file_hash", F.lit("")).alias("_hash"), "_best")
+    joined = named.join(found, (F.coalesce(named["file_name"], F.lit("")) == F.col("_name")) & (F.coalesce(named["file_hash"], F.lit("")) == F.col("_hash")), "left")
+    reason = F.element_at(F.array(F.lit("name"), F.lit("path"), F.lit("number"), F.lit("hash")), F.col("_best._kind") + 1)
+    return joined.select(*(named[c] for c in files.columns), F.col("_best._id").alias("dispatch_id"), F.when(F.col("_best").isNotNull(), reason).alias("matched_by"))
 
 
 def list_new_files(files: DataFrame, dispatches: DataFrame, failed: DataFrame) -> DataFrame:

@@ -215,9 +215,9 @@ def _folder_batch(spark, sf):
 
 @query("folder_batch_status", with_tables(_SCAN + """
 , counts AS (SELECT doc_id, count(*) AS n FROM mixed GROUP BY 1)
-SELECT upload_name AS file_name, scan_status AS status, CASE WHEN known THEN 'Ya existe por nombre de archivo (Despacho Nº ' || scan.number || ')'
-    WHEN wrong_type THEN 'Solo se permiten archivos PDF' WHEN too_large THEN 'El archivo supera el límite de 50 MB' END AS message,
-  CASE WHEN known THEN scan.id ELSE fresh.new_id END AS dispatch_id, fresh.number, upper(fresh.importer) AS importer,
+SELECT upload_name AS file_name, scan.scan_status AS status, CASE WHEN scan.known THEN 'Ya existe por nombre de archivo (Despacho Nº ' || scan.number || ')'
+    WHEN scan.wrong_type THEN 'Solo se permiten archivos PDF' WHEN scan.too_large THEN 'El archivo supera el límite de 50 MB' END AS message,
+  CASE WHEN scan.known THEN scan.id ELSE fresh.new_id END AS dispatch_id, fresh.number, upper(fresh.importer) AS importer,
   CASE WHEN fresh.id IS NOT NULL THEN coalesce(counts.n, 1) END AS items, CAST(4 AS BIGINT) AS batch
 FROM scan LEFT JOIN fresh USING (upload_name) LEFT JOIN counts ON fresh.id = doc_id"""))
 def folder_batch_status(spark, sf):
