@@ -114,25 +114,58 @@ def _deletions(text: Column) -> Column:
     return F.transform(positions, lambda i: F.concat(F.substring(text, F.lit(1), i - 1), text.substr(i + 1, F.length(text))))
 
 
-def brand_pairs(brands: DataFrame, min_length: int = 5) -> DataFrame:
-    """Pairs of skeletons at edit distance 1 or 2.
+#: Skeletons up to this length are compared by what deletions leave of them, longer ones by their parts.
+DELETIONS_UP_TO = 18
 
-    Two texts within two edits share a text that both reach by deleting at most
-    two characters, so an equi-join on those texts finds every pair.  A block
-    holds only different texts that are two insertions away from its key, which
-    bounds its size whatever the number of brands.
-    """
-    skeletons = brands.select("skeleton").filter(F.length("skeleton") >= min_length).distinct()
+
+def _by_deletions(skeletons: DataFrame) -> DataFrame:
+    """Candidates (skeleton, other) that share a text which both reach by deleting at most two characters."""
     one = F.col("one")
     blocks = (
         skeletons.withColumn("one", _deletions(F.col("skeleton")))
         .withColumn("two", F.flatten(F.transform(one, _deletions)))
         .select("skeleton", F.explode(F.array_distinct(F.concat(F.array("skeleton"), one, F.col("two")))).alias("block"))
     )
-    other = blocks.withColumnRenamed("skeleton", "other")
-    candidates = blocks.join(other, "block").filter(F.col("skeleton") < F.col("other")).select("skeleton", "other").distinct()
+    return blocks.join(blocks.withColumnRenamed("skeleton", "other"), "block").filter(F.col("skeleton") < F.col("other")).select("skeleton", "other")
+
+
+def _by_parts(skeletons: DataFrame, shortest: int) -> DataFrame:
+    """Candidates (skeleton, other) of which the shorter one's first, middle or last third stands in the longer one, at most two places off.
+
+    Two edits leave one of three parts as it is.  The index has three parts per text, and a text is looked
+    up with 45 substrings whatever its length: five places for each part of the three lengths the other can have.
+    """
+    third = "(l div 3 + if(i >= 3 - l % 3, 1, 0))"
+    start = "(i * (l div 3) + greatest(0, i - (3 - l % 3)))"
+    places = f"flatten(transform(sequence(0, 2), i -> transform({{shifts}}, d -> named_struct('l', l, 'i', i, 'at', {start} + d, 'n', {third}))))"
+    own = places.format(shifts="array(0)")
+    looked_up = places.format(shifts="sequence(-2, 2)")
+    size = "length(skeleton)"
+
+    def parts(found: str) -> DataFrame:
+        rows = skeletons.select("skeleton", F.expr(f"inline({found})")).filter("at >= 0 and at + n <= length(skeleton)")
+        return rows.select("skeleton", "l", "i", F.expr("substr(skeleton, at + 1, n)").alias("part"))
+
+    index = parts(f"flatten(transform(array({size}), l -> {own}))").withColumnRenamed("skeleton", "other")
+    probe = parts(f"flatten(transform(sequence(greatest({size} - 2, {shortest}), {size}), l -> {looked_up}))")
+    pairs = probe.join(index, ["l", "i", "part"]).filter("skeleton <> other")
+    return pairs.select(F.least("skeleton", "other").alias("skeleton"), F.greatest("skeleton", "other").alias("other"))
+
+
+def brand_pairs(brands: DataFrame, min_length: int = 5, deletions_up_to: int = DELETIONS_UP_TO) -> DataFrame:
+    """Pairs of skeletons at edit distance 1 or 2.
+
+    Short texts meet in what two deletions leave of them: a block holds only texts that are two
+    insertions away from its key, which bounds it whatever the number of brands.  Texts of which the longer
+    one has over ``deletions_up_to`` characters meet in a part of at least a third, so the bytes
+    per brand grow with its length only.
+    """
+    length = F.length("skeleton")
+    skeletons = brands.select("skeleton").filter(length >= min_length).distinct()
+    long_from = max(min_length, deletions_up_to - 1)
+    candidates = _by_deletions(skeletons.filter(length <= deletions_up_to)).unionByName(_by_parts(skeletons.filter(length >= long_from), long_from))
     distance = F.levenshtein("skeleton", "other", 2)
-    return candidates.withColumn("distance", distance).filter(F.col("distance").between(1, 2))
+    return candidates.distinct().withColumn("distance", distance).filter(F.col("distance").between(1, 2))
 
 
 def same_name_clusters(summary: DataFrame) -> DataFrame:
@@ -228,22 +261,26 @@ def _word_text(c) -> Column:
 def detect_brands(texts: DataFrame, known: DataFrame, column: str) -> DataFrame:
     """For each distinct text the longest known brand it names as whole words.
 
-    Runs of up to as many words as the longest brand has are looked up by
-    equality; the exact spelling is then tested on the few hits.  Brands without
-    a letter or digit never count as named.
+    The dictionary is indexed by first word: to each belong the lengths, in words, of the brands that
+    start with it.  Only runs of these lengths are built, where a text has that word, and looked up by
+    equality; the exact spelling is then tested on the few hits.  So the cost of a text does not depend on
+    the longest brand.  Brands without a letter or digit never count as named.
     """
     dictionary = known.select("known", _word_text("known").alias("words")).filter(F.col("words") != "")
-    longest = dictionary.agg(F.max(F.size(F.split("words", " ")))).first()[0] or 1
+    split = F.split("words", " ")
+    lengths = dictionary.groupBy(F.get(split, F.lit(0)).alias("first")).agg(F.array_sort(F.collect_set(F.size(split))).alias("lengths"))
     distinct = texts.select(F.col(column).alias("text")).filter(non_blank("text")).distinct()
-    words = F.split(_word_text(F.upper("text")), " ")
-    count = F.size("_words")
+    # Texts that agree in the hash only share a list of first words, which adds runs to try and no hits.
+    keyed = distinct.withColumn("_words", F.split(_word_text(F.upper("text")), " ")).withColumn("_key", F.xxhash64("text"))
+    starts = keyed.select("_key", F.explode(F.array_distinct("_words")).alias("first")).join(lengths, "first")
+    starts = starts.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("first", "lengths"))).alias("_starts"))
 
-    def runs(n: int) -> Column:
-        starts = F.when(count >= n, F.sequence(F.lit(1), count - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(F.col("_words"), i, n), " "))
+    def runs(word: Column, i: Column) -> Column:
+        fitting = F.filter(F.coalesce(F.try_element_at("_starts", word), F.array().cast("array<int>")), lambda n: i + n <= F.size("_words"))
+        return F.transform(fitting, lambda n: F.array_join(F.slice(F.col("_words"), i + 1, n), " "))
 
-    grams = F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)])))
-    phrases = distinct.withColumn("_words", words).select("text", F.explode(grams).alias("words"))
+    grams = F.array_distinct(F.flatten(F.transform("_words", runs)))
+    phrases = keyed.join(starts, "_key").select("text", F.explode(grams).alias("words"))
     hits = phrases.join(dictionary, "words").filter(
         F.regexp_like(F.upper("text"), F.concat(F.lit(r"(?U)\b"), literal_pattern(F.col("known")), F.lit(r"\b")))
     )
