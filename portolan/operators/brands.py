@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from portolan import fixed_values as fv
@@ -316,34 +316,35 @@ def facet_hierarchy(items: DataFrame, labels: DataFrame, brand: str | None = Non
     """Brand, family and variant tree as flat rows, labels first where both exist.
 
     A label without any line is kept with a count of 0.  Families are in
-    alphabetical order, the base variant is first within its family.
+    alphabetical order, the base variant is first within its family.  The lines are
+    read once; spellings and family totals are taken from the tree itself.
     """
     if brand is not None:
         items = items.filter(F.col("brand") == brand.strip())
         labels = labels.filter(F.lower("brand") == brand.strip().lower())
-    found = family_variant_counts(items).withColumn("is_custom", F.lit(False))
-    brands = items.filter(non_blank("brand") & non_blank("description")).select(
-        F.col("brand").alias("_brand"), F.lower("brand").alias("_key")
-    ).distinct()
+    none = F.lit(None).cast("string")
+    found = family_variant_counts(items).select(
+        F.lower("brand").alias("_key"), "brand", none.alias("_label"), "family", "variant", "items", "search_pattern", F.lit(False).alias("is_custom")
+    )
     family = F.coalesce(
         blank_to_null(title_case(strip("family"))), family_variant(strip("clean_name"))["family"]
     )
-    custom = (
-        labels.withColumn("_key", F.lower(strip("brand")))
-        .join(brands, "_key", "left")
-        .select(
-            F.coalesce("_brand", "brand").alias("brand"), family.alias("family"), strip("clean_name").alias("variant"),
-            F.lit(0).cast("bigint").alias("items"), strip("search_pattern").alias("search_pattern"), F.lit(True).alias("is_custom"),
-        )
+    custom = labels.select(
+        F.lower(strip("brand")).alias("_key"), none.alias("brand"), F.col("brand").alias("_label"), family.alias("family"), strip("clean_name").alias("variant"),
+        F.lit(0).cast("bigint").alias("items"), strip("search_pattern").alias("search_pattern"), F.lit(True).alias("is_custom"),
     )
+    # A label counts for every spelling its brand has among the lines, else for its own.
+    spellings = F.collect_set("brand").over(Window.partitionBy("_key"))
+    both = found.unionByName(custom).withColumn("_spellings", spellings)
+    own = F.when(~F.col("is_custom"), F.array("brand")).when(F.size("_spellings") > 0, F.col("_spellings")).otherwise(F.array("_label"))
+    named = both.withColumn("brand", F.explode(own))
     label_pattern = F.max(F.when(F.col("is_custom"), F.col("search_pattern")))
-    merged = found.unionByName(custom).groupBy("brand", "family", "variant").agg(
+    merged = named.groupBy("brand", "family", "variant").agg(
         F.sum("items").alias("items"),
         F.coalesce(label_pattern, F.min("search_pattern")).alias("search_pattern"),
         F.max("is_custom").alias("is_custom"),
     )
-    totals = merged.groupBy("brand", "family").agg(F.sum("items").alias("family_items"))
-    return merged.join(totals, ["brand", "family"])
+    return merged.withColumn("family_items", F.sum("items").over(Window.partitionBy("brand", "family")))
 
 
 def variant_order() -> list[Column]:

@@ -265,8 +265,56 @@ def paginate(df: DataFrame, order: list[Column], page: int, per_page: int) -> Da
 def page_after(df: DataFrame, last, per_page: int) -> DataFrame:
     """The page behind a given (date, id), both descending: cost does not grow with depth."""
     date, key = last
-    behind = F.col("date").isNull() & (F.col("id") < key)
-    if date is not None:
-        day = F.lit(date).cast("date")
-        behind = (F.col("date") < day) | ((F.col("date") == day) & (F.col("id") < key)) | F.col("date").isNull()
-    return latest(df.filter(behind), per_page)
+    return rows_after(df, [("date", False), ("id", False)], {"date": date, "id": key}, per_page)
+
+
+#: Orders (column, ascending) of goods lines and worksheets that end in a unique column.
+ITEM_ORDER = [("date", False), ("dispatch_id", False), ("item_no", True), ("subitem_no", True), ("id", True)]
+SHEET_ORDER = [("updated_at", False), ("id", False)]
+
+
+def _sorted_by(order: list[tuple[str, bool]]) -> list[Column]:
+    return [F.asc_nulls_first(c) if up else F.desc_nulls_last(c) for c, up in order]
+
+
+def rows_after(df: DataFrame, order: list[tuple[str, bool]], last: dict, per_page: int) -> DataFrame:
+    """The ``per_page`` rows behind ``last`` (column to value) in an order of (column, ascending): a filter and a top-n.
+
+    NULL is the lowest value: first where a column rises, last where it falls.  The last column must be unique.
+    """
+    kinds = dict(df.dtypes)
+    behind, same = F.lit(False), F.lit(True)
+    for name, up in order:
+        c, v = F.col(name), F.lit(last[name]).cast(kinds[name])
+        if last[name] is None:
+            further = c.isNotNull() if up else F.lit(False)
+        else:
+            further = F.coalesce(c > v, F.lit(False)) if up else (c < v) | c.isNull()
+        behind, same = behind | (same & further), same & c.eqNullSafe(v)
+    return df.filter(behind).orderBy(*_sorted_by(order)).limit(per_page)
+
+
+def write_page_index(df: DataFrame, order: list[tuple[str, bool]], path: str) -> None:
+    """Store rows in order, as ranges with numbered rows: column ``_range`` rises with the order, ``_row`` counts from 0 in each."""
+    by = _sorted_by(order)
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    numbered = ranged.withColumn("_range", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id() % (1 << 33))
+    numbered.write.parquet(path)
+
+
+def page_of_index(spark, path: str, page: int, per_page: int) -> DataFrame:
+    """A page of a stored order, whatever its depth; pages behind the last show the last one.
+
+    Each range is a file of its own, so the filter on ``_range`` leaves out the others by their statistics.
+    """
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()  # one short row per range
+    total = sum(r.n for r in sizes)
+    first = (min(page, max(1, math.ceil(total / per_page))) - 1) * per_page
+    wanted, before = F.lit(False), 0
+    for r in sizes:
+        low, high = max(first - before, 0), min(first + per_page - before, r.n)
+        if low < high:
+            wanted = wanted | ((F.col("_range") == r["_range"]) & F.col("_row").between(low, high - 1))
+        before += r.n
+    return rows.filter(wanted).orderBy("_range", "_row").drop("_range", "_row")

@@ -286,6 +286,39 @@ def page_after(spark, sf):
     return search.page_after(st.dispatches(spark, sf).select("id", "number", "date"), ("1998-06-15", 700), 35)
 
 
+_DATED_ITEMS = """
+, dated AS (SELECT i.id, dispatch_id, item_no, subitem_no, date FROM items i JOIN dispatches d ON d.id = dispatch_id),
+placed AS (SELECT *, row_number() OVER (ORDER BY date DESC NULLS LAST, dispatch_id DESC, item_no NULLS FIRST, subitem_no NULLS FIRST, id) AS place FROM dated)
+"""
+
+
+def _dated_items(spark, sf):
+    dates = st.dispatches(spark, sf).select(F.col("id").alias("dispatch_id"), "date")
+    return st.items(spark, sf).select("id", "dispatch_id", "item_no", "subitem_no").join(dates, "dispatch_id")
+
+
+@query("items_page_after", with_tables(_DATED_ITEMS + """
+SELECT id, dispatch_id, item_no, subitem_no, date FROM placed
+WHERE place > (SELECT max(place) FROM placed WHERE date > DATE '1996-03-05' OR (date = DATE '1996-03-05' AND dispatch_id >= 500)) AND place <=
+  30 + (SELECT max(place) FROM placed WHERE date > DATE '1996-03-05' OR (date = DATE '1996-03-05' AND dispatch_id >= 500))"""))
+def items_page_after(spark, sf):
+    """The page behind the last line a declaration 500 of that day would have."""
+    last = {"date": "1996-03-05", "dispatch_id": 500, "item_no": 1 << 30, "subitem_no": None, "id": ""}
+    return search.rows_after(_dated_items(spark, sf), search.ITEM_ORDER, last, 30)
+
+
+@query("items_page_of_index", with_tables(_DATED_ITEMS + """
+SELECT id, dispatch_id, item_no, subitem_no, date FROM placed WHERE place > 119 * 40 AND place <= 120 * 40"""))
+def items_page_of_index(spark, sf):
+    import uuid
+
+    from portolan.session import shared_folder
+
+    path = shared_folder(spark, f"pages/items-{uuid.uuid4().hex}")
+    search.write_page_index(_dated_items(spark, sf), search.ITEM_ORDER, path)
+    return search.page_of_index(spark, path, 120, 40)
+
+
 @query("latest_dispatches", with_tables("""
 SELECT id, number, date FROM dispatches ORDER BY date DESC NULLS LAST, id DESC LIMIT 10"""))
 def latest_dispatches(spark, sf):

@@ -42,3 +42,25 @@ def test_code_lookup_does_not_shuffle_the_lines(spark, tmp_path):
 def test_page_is_a_top_n(spark):
     text = plan(search.latest(st.dispatches(spark, SF), 10))
     assert "TakeOrderedAndProject" in text
+
+
+def test_brand_tree_reads_the_lines_once(spark, tmp_path):
+    from portolan.operators.brands import facet_hierarchy
+
+    items = str(tmp_path / "lines")
+    st.items(spark, SF).write.parquet(items)
+    labels = spark.createDataFrame([], "brand string, family string, clean_name string, search_pattern string")
+    assert plan(facet_hierarchy(spark.read.parquet(items), labels)).count("FileScan") == 1
+
+
+def test_replica_matching_reads_each_header_table_at_most_three_times(spark, tmp_path):
+    from portolan.operators.replica import match_replica, pull_quick
+
+    heads, lines = st.dispatches(spark, SF), st.items(spark, SF)
+    for name, df in (("here", heads.filter("id % 3 <> 0")), ("there", heads.filter("id % 2 = 0")), ("lines", lines)):
+        df.write.parquet(str(tmp_path / name))
+    here, there, all_lines = (spark.read.parquet(str(tmp_path / n)) for n in ("here", "there", "lines"))
+    text = plan(match_replica(there, here))
+    assert text.count("/here]") <= 3 and text.count("FileScan") <= 3
+    merged = plan(pull_quick(there, all_lines, here, all_lines)[0])
+    assert merged.count("FileScan") <= 5
