@@ -108,6 +108,37 @@ def filter_fields(spark, sf):
     return reports.filter_fields(view, "FOB").select("id", "field", "label", "value")
 
 
+#: Fields of the field audit that the sample declarations have.
+_SHOWN = ["number", "owner", "date", "importer", "importer_doc", "exporter", "origin", "broker", "customs_office", "regime", "channel", "fob", "freight", "insurance",
+          "cif", "exchange_rate", "total", "net_weight", "packages", "bl", "container"]
+_FILLED = " + ".join(f"CASE WHEN CAST({f} AS VARCHAR) <> '' THEN 1 ELSE 0 END" for f in _SHOWN)
+
+
+@query("dispatch_info_json", with_tables(f"""
+SELECT id, number, owner, status, channel, file_name, CAST({_FILLED} AS INTEGER) AS fields, CASE WHEN date IS NULL THEN NULL ELSE strftime(date, '%d/%m/%Y') END AS shown_date,
+  format('{{:,.2f}}', cif) AS shown_cif FROM dispatches"""))
+def dispatch_info_json(spark, sf):
+    rows = reports.dispatch_info_json(st.dispatches(spark, sf))
+    fields = "array<struct<field:string,label:string,value:string,confidence:double,page:int,method:string>>"
+    j = F.from_json("json", f"number string, owner string, status string, channel string, file_name string, fields {fields}")
+    shown = lambda name: F.get(F.filter("j.fields", lambda x: x["field"] == name), F.lit(0))["value"]
+    parsed = rows.select("id", j.alias("j"))
+    return parsed.select("id", "j.number", "j.owner", "j.status", "j.channel", "j.file_name", F.size("j.fields").alias("fields"), shown("date").alias("shown_date"), shown("cif").alias("shown_cif"))
+
+
+@query("field_audit_provenance", with_tables(" UNION ALL ".join(
+    f"SELECT id, '{f}' AS field, CASE WHEN id % {k + 2} = 0 THEN CAST(0.95 AS DOUBLE) ELSE CAST({k + 50} AS DOUBLE) / 100 END AS confidence, "
+    f"CASE WHEN id % {k + 2} = 0 THEN 1 ELSE {k + 1} END AS page, CASE WHEN id % {k + 2} = 0 THEN 'TEXT' ELSE 'OCR' END AS method FROM dispatches WHERE CAST({f} AS VARCHAR) <> ''"
+    for k, f in enumerate(_SHOWN))))
+def field_audit_provenance(spark, sf):
+    """All fields of all declarations; every k-th declaration lacks the record of a field."""
+    d = st.dispatches(spark, sf)
+    records = [F.when(F.col("id") % (k + 2) != 0, F.struct(F.lit(f).alias("key"), F.struct(F.lit((k + 50) / 100).alias("confidence"), F.lit(k + 1).alias("page"), F.lit("OCR").alias("method")).alias("value")))
+               for k, f in enumerate(_SHOWN)]
+    view = reports.field_audit_view(d.withColumn("field_meta", F.map_from_entries(F.array_compact(F.array(*records)))))
+    return view.select("id", "field", "confidence", "page", "method")
+
+
 @query("dispatch_events", with_tables("""
 SELECT d.id, number, coalesce(nullif(owner, ''), 'Sin Asignar') AS owner, fob, count(i.id) AS items FROM dispatches d LEFT JOIN items i ON i.dispatch_id = d.id GROUP BY ALL"""))
 def dispatch_events(spark, sf):
