@@ -22,19 +22,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portolan.llm.components import components
-from portolan.llm.shared import filled, mapped, stored
+from portolan.llm.shared import MEMOS, filled, mapped, stored
 
 WORDS = 5
 PERCENT = 75
 #: n-grams counted as frequent: at least this often in one run of buffered n-grams, and at most so many kept.
-FREQUENT_COUNT, FREQUENT_KEPT, COUNT_BUFFER = 8, 100_000, 4_000_000
-ENTRIES_PER_BLOCK, LEAST_BLOCKS, ENTRIES_PER_FLUSH = 200_000, 64, 500_000
+FREQUENT_COUNT, FREQUENT_KEPT, COUNT_BUFFER = 4, 100_000, 1_000_000
+ENTRIES_PER_BLOCK, LEAST_BLOCKS, ENTRIES_PER_FLUSH = 200_000, 64, 250_000
 LIST_SALT = 50_000
 LIST_BLOCK = 2_048
 #: Rounds of comparisons with one set per list before what is still apart is multiplied out.
 STAR_ROUNDS = 2
 MEMBERS_PER_SALT = 500
-WORD_MEMO = 400_000
+#: Words whose hashes a task remembers, and sets it knows to have seen.
+WORD_MEMO = 150_000
+#: Pairs a task holds before it hands them on.
+PAIRS_PER_FLUSH = 50_000
 LEAST_BITS = 2_048
 #: n-gram, set, size of the set, and how many of its n-grams come from here on in the order, this one with them.
 ENTRY = np.dtype([("gram", "<u8"), ("set", "<u8"), ("n", "<u4"), ("rest", "<u4")])
@@ -49,7 +52,7 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
+_HASHES = MEMOS.setdefault("word hashes", _WordHashes())
 
 
 def gram_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -132,7 +135,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
         if buffer:
             yield frequent(buffer)
 
-    return mapped(_texts(docs, id_col, text_col), run, f"doc_id {kind}, row_key bigint, n bigint, fp_a bigint, fp_b bigint, bits binary")
+    return mapped(_texts(docs, id_col, text_col), run, f"doc_id {kind}, row_key bigint, n bigint, fp_a bigint, fp_b bigint, bits binary", "word hashes")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -207,7 +210,7 @@ def _blocks(texts: DataFrame, words: int, percent: int, blocks: int, frequent) -
         if rows:
             yield packed(rows)
 
-    return mapped(texts.select("text"), run, "block bigint, entries binary")
+    return mapped(texts.select("text"), run, "block bigint, entries binary", "word hashes")
 
 
 def _lists(blocks: DataFrame, frequent) -> DataFrame:
@@ -292,7 +295,7 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, perc
                         out["b"].append(member)
             yield out
 
-    return mapped(rows.select("a", "set", "role", "salt", "text"), count, "a bigint, b bigint").distinct()
+    return mapped(rows.select("a", "set", "role", "salt", "text"), count, "a bigint, b bigint", "word hashes").distinct()
 
 
 def _other_stars(lists: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -346,20 +349,32 @@ def _across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         yield min(members[i], members[j]), max(members[i], members[j])
 
     def run(batches):
-        at, group = None, []
-        for batch in batches:
-            out = set()
-            columns = (batch.column(c).to_pylist() for c in (*key, "set", "own", "component", "n", "rest", "bits"))
-            for gram, low, high, *member in zip(*columns, strict=True):
-                if at != (gram, low, high):
-                    if len(group) > 1:
-                        out.update(multiply(group, at[1] != at[2]))
-                    at, group = (gram, low, high), []
-                group.append(tuple(member))
-            yield {"a": [p[0] for p in out], "b": [p[1] for p in out]}
-        if len(group) > 1:
-            out = set(multiply(group, at[1] != at[2]))
-            yield {"a": [p[0] for p in out], "b": [p[1] for p in out]}
+        at, group, out = None, [], set()
+
+        def flushed():
+            if out:
+                yield {"a": [p[0] for p in out], "b": [p[1] for p in out]}
+                out.clear()
+
+        def blocks():
+            nonlocal at, group
+            for batch in batches:
+                columns = (batch.column(c).to_pylist() for c in (*key, "set", "own", "component", "n", "rest", "bits"))
+                for gram, low, high, *member in zip(*columns, strict=True):
+                    if at != (gram, low, high):
+                        if len(group) > 1:
+                            yield at, group
+                        at, group = (gram, low, high), []
+                    group.append(tuple(member))
+            if len(group) > 1:
+                yield at, group
+
+        for (_, low, high), members in blocks():
+            for pair in multiply(members, low != high):
+                out.add(pair)
+                if len(out) >= PAIRS_PER_FLUSH:
+                    yield from flushed()
+        yield from flushed()
 
     return mapped(rows, run, "a bigint, b bigint").distinct()
 

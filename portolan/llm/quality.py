@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.shared import filled, mapped
+from portolan.llm.shared import MEMOS, filled, mapped
 from portolan.llm.toxicity import labelled_sample
 
 PASSAGE_WORDS = 32
@@ -63,7 +63,7 @@ class _Codes(dict):
         return code
 
 
-_CODES = _Codes()
+_CODES = MEMOS.setdefault("word codes", _Codes())
 
 
 def bag(text: str) -> np.ndarray:
@@ -175,7 +175,7 @@ def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             yield {"doc_id": batch.column("doc_id"), "score": [float(score(m, t)) for t in batch.column("text").to_pylist()]}
 
-    return mapped(docs.select(F.col(id_col).alias("doc_id"), filled(text_col).alias("text")), run, f"doc_id {kind}, score double")
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), filled(text_col).alias("text")), run, f"doc_id {kind}, score double", "word codes")
 
 
 def trained(docs: DataFrame, labels: DataFrame, learn, limit: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> Model:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -37,8 +39,24 @@ def filled(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, Iterable]]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` for a function that yields plain columns by name."""
+#: What a Python worker remembers from task to task, by name: tables of words, encoders. All have a bound of their own.
+MEMOS: dict[str, dict] = {}
+
+
+def release_memos(but: str | None = None) -> None:
+    """Forget all memos of this worker but one, and give the memory back: a worker serves the stages of many operators."""
+    full = [memo for name, memo in MEMOS.items() if memo and name != but]
+    for memo in full:
+        memo.clear()
+    if full:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, Iterable]]], schema: T.StructType | str, keeps: str | None = None) -> DataFrame:
+    """``mapInArrow`` for a function that yields plain columns by name; ``keeps`` names the one memo its tasks find again."""
     spark_schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -48,20 +66,26 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict
         conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos(keeps)
         for columns in fn(batches):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, spark_schema)
 
 
+def utf8_size(text: bytes | str) -> int:
+    return len(text) if isinstance(text, bytes) or text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def balanced(texts: Iterable[bytes | str], limit: int) -> Iterator[list]:
-    """Lists of consecutive texts of about ``limit`` characters each; a longer text stands alone."""
+    """Lists of consecutive texts of about ``limit`` bytes (UTF-8) each; a longer text stands alone."""
     batch, size = [], 0
     for text in texts:
-        if batch and size + len(text) > limit:
+        own = utf8_size(text)
+        if batch and size + own > limit:
             yield batch
             batch, size = [], 0
         batch.append(text)
-        size += len(text)
+        size += own
     if batch:
         yield batch
