@@ -95,8 +95,10 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
     vocabulary = load(tokenizer_path).get_vocab_size()
     width = id_type(max(vocabulary, end_id + 1))
 
+    item = np.dtype(width).itemsize
+
     def encode(batches):
-        encoder, (bucket, directions) = id_encoder(tokenizer_path), _projection(vocabulary)
+        encoder, (bucket, directions) = id_encoder(tokenizer_path, width), _projection(vocabulary)
         end = np.asarray([end_id], dtype=width).tobytes()
         for batch in batches:
             ids = list(encoder.texts(batch.column("text").to_pylist(), b"".join))
@@ -110,11 +112,11 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
             ids = [data + end for data in ids]
             yield {
                 "row": batch.column("row"), "doc_id": batch.column("doc_id"), "key": hilbert_keys(np.minimum(points * 2**BITS, 2**BITS - 1)),
-                "n": [len(data) // np.dtype(width).itemsize for data in ids], "ids": ids,
+                "n": [len(data) // item for data in ids], "ids": ids,
             }
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), filled(text_col).alias("text"))
-    encoded = stored(mapped(rows, encode, f"row bigint, doc_id {kind}, key bigint, n bigint, ids binary"), "encoded")
+    encoded = stored(mapped(rows, encode, f"row bigint, doc_id {kind}, key bigint, n bigint, ids binary", "word pieces"), "encoded")
 
     def lay(batches):
         at, part = 0, TaskContext.get().partitionId()

@@ -22,7 +22,7 @@ def tokenizer():
 
 
 def test_pieces_have_the_tokens_of_the_text(tokenizer):
-    ids = tokens.id_encoder(queries.word_bpe())
+    ids = tokens.id_encoder(queries.word_bpe(), "<u2")
     random.seed(4)
     texts = STRANGE + [" ".join(random.choice(STRANGE) for _ in range(6)) for _ in range(200)]
     for text, got, n in zip(texts, ids.texts(texts, b"".join), tokens.counter(queries.word_bpe()).texts(texts, sum), strict=True):
@@ -33,9 +33,9 @@ def test_pieces_have_the_tokens_of_the_text(tokenizer):
 
 def test_memo_keeps_results_when_it_is_full(tokenizer, monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_PIECES", 20)
-    monkeypatch.setattr(tokens, "BATCH_CHARS", 200)
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 200)
     texts = [f"w{i % 50} x{i} y{i % 7}." for i in range(300)]
-    found = list(tokens.PieceEncoder(queries.word_bpe(), len).texts(texts, sum))
+    found = list(tokens.PieceEncoder(queries.word_bpe()).texts(texts, sum))
     assert found == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
@@ -43,7 +43,7 @@ def test_tokenizers_that_keep_white_space_are_refused():
     import public_tokenizers
 
     with pytest.raises(ValueError):
-        tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), len)
+        tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_token_counts_edges(edge, nothing, tokenizer):
