@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.llm.byte_tokens import ByteEncoder
+from portolan.llm.byte_tokens import byte_encoder
 from portolan.llm.shared import filled, mapped, stored
 from portolan.llm.tokens import id_type, load
 
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
     width = id_type(max(load(tokenizer_path).get_vocab_size(), end_id + 1))
 
     def encode(batches):
-        encoder, numbered, part = ByteEncoder(tokenizer_path), Counter(), TaskContext.get().partitionId()
+        encoder, numbered, part = byte_encoder(tokenizer_path), Counter(), TaskContext.get().partitionId()
         end = np.asarray([end_id], dtype=width).tobytes()
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("part", "number", "doc_id", "piece", "start", "length", "ids")}
@@ -179,7 +179,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
             yield out
 
     rows = docs.select(F.col(id_col).alias("doc_id"), filled(text_col).alias("text"))
-    pieces = stored(mapped(rows, encode, f"part int, number bigint, doc_id {kind}, piece int, start bigint, length bigint, ids binary"), "pieces")
+    pieces = stored(mapped(rows, encode, f"part int, number bigint, doc_id {kind}, piece int, start bigint, length bigint, ids binary", "byte pieces"), "pieces")
     sizes = stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "sizes")
     counts = np.zeros(length + 1, dtype=np.int64)
     for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most a row per length
