@@ -64,3 +64,19 @@ def test_replica_matching_reads_each_header_table_at_most_three_times(spark, tmp
     assert text.count("/here]") <= 3 and text.count("FileScan") <= 3
     merged = plan(pull_quick(there, all_lines, here, all_lines)[0])
     assert merged.count("FileScan") <= 5
+
+
+def test_documents_are_extracted_once(spark):
+    from portolan.operators import extraction as ex
+
+    pages = spark.createDataFrame([(1, 1, "NRO ITEM: 1", "OCR")], "doc_id bigint, page_num int, text string, method string")
+    text = plan(ex.extract_items(pages, layouts=("subitems",)))
+    assert text.count("regexp_extract_all(") == 1 and "Filter (size(" not in text and "Filter ((size(" not in text
+
+
+def test_strip_takes_spaces_of_any_kind(spark):
+    from portolan.functions.text import strip
+
+    texts = ["", " ", "\u3000\x1c a\u00a0b\n c \u2028\x85", "\ta", "a\r\n", "\u00b0x\u200b", "\U0001f600 ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(strip("t")).collect()
+    assert [r[0] for r in rows] == ["", "", "a\u00a0b\n c", "a", "a", "\u00b0x\u200b", "\U0001f600", None]
