@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +85,11 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
 
 
-def distinct_texts(texts: list[str]) -> list[list[bytes]]:
-    """Words of each text, without those that share passages with one before: copies would count as evidence."""
+def distinct_texts(texts: Iterable[str]) -> list[bytes]:
+    """Words of each text, one blank between them, without those that share passages with one before: copies would count as evidence.
+
+    Words are kept in one piece per text; apart they would take several times the memory of the texts.
+    """
     seen, out = set(), []
     for text in texts:
         words = words_of(text)
@@ -93,7 +98,7 @@ def distinct_texts(texts: list[str]) -> list[list[bytes]]:
         grams = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
         marks = [(seed, min(xxhash.xxh64_intdigest(g, seed=seed) for g in grams)) for seed in (1, 2, 3)]
         if not seen.intersection(marks):
-            out.append(words)
+            out.append(b" ".join(words))
         seen.update(marks)
     return out
 
@@ -104,9 +109,9 @@ def _openings(words: list[bytes]) -> set[bytes]:
     return {w[:n] for w in plain for n in (4, 5, 6, 7, len(w)) if 2 < len(w) >= n}
 
 
-def _telling(own: list[list[bytes]], other: list[list[bytes]]) -> bytes:
+def _telling(own: list[bytes], other: list[bytes]) -> bytes:
     """The words and openings that are far more frequent in ``own``, the most telling last."""
-    a, b = (Counter(w for words in texts for w in _openings(words)) for texts in (own, other))
+    a, b = (Counter(w for text in texts for w in _openings(text.split())) for texts in (own, other))
     gain = {}
     for word, n in a.items():
         ratio = (n / len(own)) / ((b[word] + 0.5) / max(1, len(other)))
@@ -115,9 +120,15 @@ def _telling(own: list[list[bytes]], other: list[list[bytes]]) -> bytes:
     return b" ".join(sorted(gain, key=lambda w: (gain[w], w)))[-OWN_BYTES:]
 
 
-def _common(texts: list[list[bytes]]) -> bytes:
-    samples = [w for words in texts for w in windows(words, b"")]
-    samples = samples[:: max(1, -(-len(samples) // COMMON_WINDOWS))]
+def _split(text: bytes | list[bytes]) -> list[bytes]:
+    return text.split() if isinstance(text, bytes) else text
+
+
+def _common(texts: list[bytes] | list[list[bytes]]) -> bytes:
+    """Passages common to texts, each given in one piece or as words; only the windows that are kept are held together."""
+    total = sum(-(-len(_split(text)) // WINDOW_WORDS) for text in texts)
+    step = max(1, -(-total // COMMON_WINDOWS))
+    samples = list(islice((w for text in texts for w in windows(_split(text), b"")), 0, None, step))
     size = COMMON_BYTES
     while size >= 256:
         try:
@@ -148,7 +159,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     Without texts of both kinds there is nothing to tell apart: the score is then the share of toxic labels.
     """
     halves = [[i for i in range(len(texts)) if (i % 3 == 0) == bool(k)] for k in (0, 1)]  # two thirds and one third
-    kinds = [distinct_texts([texts[i] for i in halves[0] if labels[i] == k]) for k in (0, 1)]
+    kinds = [distinct_texts(texts[i] for i in halves[0] if labels[i] == k) for k in (0, 1)]
     share = (sum(labels) + 0.5) / (len(labels) + 1)
     flat = math.log(share / (1 - share))
     common = _common(kinds[0] + kinds[1])[-COMMON_BYTES:]

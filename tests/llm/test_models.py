@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy, edge cases, and mixing against its targets."""
 
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -46,6 +47,12 @@ def test_common_passages_are_of_both_kinds_however_many_windows(labelled, monkey
     assert sum(kinds) <= 400 and 4 < kinds[0] / kinds[1] < 6
 
 
+def test_training_texts_are_held_about_as_long_as_they_are(labelled):
+    held = toxicity.distinct_texts(labelled[0])
+    size = lambda x: sys.getsizeof(x) + (sum(map(sys.getsizeof, x)) if isinstance(x, list) else 0)
+    assert held and sum(map(size, held)) < 1.5 * sum(map(len, labelled[0]))
+
+
 @pytest.mark.parametrize("labels", [[], [0] * 40, [1] * 40, [0, 1]])
 def test_models_without_both_kinds(labelled, labels):
     texts = labelled[0][: len(labels)]
