@@ -1,6 +1,9 @@
 """What the physical plans of stored tables look like."""
 
+from pyspark.sql import functions as F
+
 from portolan.functions.hs import enrich_hs
+from portolan.operators import extraction as ex
 from portolan.operators import search
 from portolan.sources import sample_tables as st
 
@@ -80,3 +83,45 @@ def test_strip_takes_spaces_of_any_kind(spark):
     texts = ["", " ", "\u3000\x1c a\u00a0b\n c \u2028\x85", "\ta", "a\r\n", "\u00b0x\u200b", "\U0001f600 ", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(strip("t")).collect()
     assert [r[0] for r in rows] == ["", "", "a\u00a0b\n c", "a", "a", "\u00b0x\u200b", "\U0001f600", None]
+
+
+def test_ends_are_trimmed_without_a_pattern(spark):
+    from portolan.functions import text
+
+    assert "regexp" not in plan(spark.range(1).select(text.strip(F.col("id").cast("string"))))
+    odd = [" a  b ", " \x1cé\t x　", "​ ", "a b", "", None, " \n", "a    b"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "n int, t string").select("n", text.strip("t").alias("s"), text.clean_text("t").alias("c")).orderBy("n").collect()
+    assert [r.s for r in rows] == ["a  b", "é\t x", "​", "a b", "", None, "", "a    b"]
+    assert [r.c for r in rows] == ["a b", "é x", "​", "a b", None, None, None, "a b"]
+
+
+def test_header_values_are_found_behind_signs_that_change_length(spark):
+    text = "ß ŉ İ K ﬁ\nDESPACHO\nDespacho numero: 26AB1\nKilo neto 1,50\nKİLO NETO 7\nREGİMEN : A\nVALOR FOB USD 5,00"
+    found = ex.extract_fields(spark.createDataFrame([(1, 1, text, "X"), (2, 1, text[10:], "X")], "doc_id bigint, page_num int, text string, method string"))
+    assert [(r.number.raw, r.net_weight.raw, r.fob.raw) for r in found.collect()] == [("26AB1", "1,50", "5,00")] * 2
+
+
+def test_values_of_fields_are_read_once(spark):
+    pages = spark.createDataFrame([(1, 1, "VALOR FOB USD 5,00", "X")], "doc_id bigint, page_num int, text string, method string")
+    records = ex.field_records(ex.extract_fields(pages))
+    generated = [line for line in records._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate inline" in line]
+    assert generated and "[A-Za-z$" not in generated[0]  # what parse_currency starts with
+
+
+def test_pages_are_cut_for_all_cores(spark):
+    from portolan.sources import sample_pages as sp
+
+    pages = sp.document_pages(spark, SF)
+    assert "REPARTITION_BY_NUM" in plan(pages)
+
+
+def test_documents_are_read_once_for_fields_and_lines(spark, monkeypatch):
+    from portolan.plans import documents as docs
+
+    cut, kept = [], docs.cut_lineage
+    monkeypatch.setattr(docs, "cut_lineage", lambda df: cut.append(df.columns) or kept(df))
+    files = spark.createDataFrame([(1, "a.pdf", "h", 10)], "doc_id bigint, file_name string, file_hash string, bytes bigint")
+    pages = spark.createDataFrame([(1, 1, "VALOR FOB USD 5,00", "X")], "doc_id bigint, page_num int, text string, method string")
+    registered = spark.createDataFrame([], "id bigint, number string, date date, importer_doc string, file_hash string")
+    docs.process_documents(files, pages, registered, spark.createDataFrame([], "pattern string, target string"), "2001-01-15")
+    assert {"doc_id", "page_num", "text", "method"} == set(cut[0])
