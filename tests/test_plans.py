@@ -125,3 +125,21 @@ def test_documents_are_read_once_for_fields_and_lines(spark, monkeypatch):
     registered = spark.createDataFrame([], "id bigint, number string, date date, importer_doc string, file_hash string")
     docs.process_documents(files, pages, registered, spark.createDataFrame([], "pattern string, target string"), "2001-01-15")
     assert {"doc_id", "page_num", "text", "method"} == set(cut[0])
+
+
+def test_diagnosis_is_evaluated_once(spark):
+    from portolan import fixed_values as fv
+    from portolan.operators import quality as qa
+
+    items = st.flawed_items(spark, SF)
+    for df in (qa.fix_counts(qa.apply_high_confidence_fixes(items)), qa.audit_items(items, st.dispatches(spark, SF), "cutoffs")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(fv.CUTOFF_PATTERN) == 1
+
+
+def test_cheap_tests_let_through_letters_that_fold(spark):
+    from portolan.functions import goods
+
+    texts = ["loſ demás kilos de AB", "ſKu: X123", "ıtem nro. 5 AB", "eſtado: X", "İTEM: PM1234 - AB", " A  B "]
+    df = goods.diagnose(spark.createDataFrame([(t, "", "") for t in texts], "description string, brand string, product_code string"))
+    got = {r.description: (r.suggested_description, r.suggested_code, r.is_clean) for r in df.collect()}
+    assert [got[t] for t in texts] == [('lo\u017f dem\xe1s kilos de AB', '', False), ('\u017f\u212au: X123', 'X123', False), ('AB', '', False), ('e\u017ftado: X', '', False), ('AB', 'PM1234', False), ('A B', '', False)]
