@@ -180,7 +180,11 @@ def filter_dispatch_items(items: DataFrame, q=None, hs=None, brand=None, item_no
 
 
 def dispatch_item_facets(items: DataFrame) -> DataFrame:
-    """Distinct codes, brands and item numbers of a declaration, first seen first."""
+    """Distinct codes, brands and item numbers of a declaration, first seen first.
+
+    The lines are dealt once, by ranges of declarations, before each becomes three entries: counting and sorting
+    need no further exchange.  The lines of a declaration, which is one file, meet in one task.
+    """
     place = F.struct(F.col("item_no"), F.coalesce("subitem_no", F.lit(0)), F.col("id").cast("string"))
     entries = F.array(
         *[
@@ -188,7 +192,8 @@ def dispatch_item_facets(items: DataFrame) -> DataFrame:
             for kind, column in (("hs_code", "hs_code"), ("brand", "brand"), ("item_no", "item_no"))
         ]
     )
-    seen = items.select("dispatch_id", place.alias("place"), F.inline(entries)).filter(non_blank("value"))
+    lines = items.select("dispatch_id", "item_no", "subitem_no", "id", "hs_code", "brand").repartitionByRange("dispatch_id")
+    seen = lines.select("dispatch_id", place.alias("place"), F.inline(entries)).filter(non_blank("value"))
     first = seen.groupBy("dispatch_id", "facet", "value").agg(F.min("place").alias("place"), F.count("*").alias("lines"))
     return first.orderBy("dispatch_id", "facet", "place").select("dispatch_id", "facet", "value", "lines")
 

@@ -143,3 +143,8 @@ def test_cheap_tests_let_through_letters_that_fold(spark):
     df = goods.diagnose(spark.createDataFrame([(t, "", "") for t in texts], "description string, brand string, product_code string"))
     got = {r.description: (r.suggested_description, r.suggested_code, r.is_clean) for r in df.collect()}
     assert [got[t] for t in texts] == [('lo\u017f dem\xe1s kilos de AB', '', False), ('\u017f\u212au: X123', 'X123', False), ('AB', '', False), ('e\u017ftado: X', '', False), ('AB', 'PM1234', False), ('A B', '', False)]
+
+
+def test_facets_of_declarations_exchange_the_lines_once(spark):
+    text = plan(search.dispatch_item_facets(st.items(spark, SF)))
+    assert text.count("rangepartitioning") == 1 and "hashpartitioning" not in text
