@@ -12,6 +12,7 @@ from portolan import fixed_values as fv
 from portolan.functions import goods, numbers
 from portolan.functions.dates import day_text, parse_date
 from portolan.functions.text import contains_any, contains_text, non_blank, strip
+from portolan.session import cut_lineage
 
 DISPATCH_COLUMNS = [
     "number", "importer", "exporter", "importer_doc", "owner", "origin", "bl", "container", "customs_office", "broker",
@@ -259,12 +260,13 @@ def page_info(df: DataFrame, page: int, per_page: int) -> DataFrame:
 def paginate(df: DataFrame, order: list[Column], page: int, per_page: int) -> DataFrame:
     """One page of an ordered result; pages behind the last show the last one.
 
-    Only the row count travels to the driver.  The page itself is a top-n over
-    ``page * per_page`` rows; use :func:`page_after` to walk far into a result.
+    Only a row count travels to the driver.  The rows up to the page are a top-n over
+    ``page * per_page`` rows, found once and written to the checkpoint folder: if they are fewer, they
+    are all there are.  Use :func:`page_after` to walk far into a result.
     """
-    total = df.count()
-    page = min(page, max(1, math.ceil(total / per_page)))
-    return df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
+    first = cut_lineage(df.orderBy(*order).limit(page * per_page))
+    page = min(page, max(1, math.ceil(first.count() / per_page)))
+    return first.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
 
 
 def page_after(df: DataFrame, last, per_page: int) -> DataFrame:

@@ -43,3 +43,22 @@ def test_pages_of_a_stored_order(spark, tmp_path):
     none = str(tmp_path / "none")
     search.write_page_index(spark.createDataFrame([], "a int, b int, id int"), order, none)
     assert search.page_of_index(spark, none, 1, 20).count() == 0
+
+
+def test_a_page_reads_its_rows_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from portolan.operators.search import paginate
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(60).repartition(4).mapInArrow(count, "id long")
+    assert [r.id for r in paginate(rows, [F.asc("id")], 2, 25).collect()] == list(range(25, 50))
+    assert seen.value == 60
+    assert [r.id for r in paginate(rows, [F.asc("id")], 9, 25).collect()] == list(range(50, 60))
+    assert paginate(rows.filter("id < 0"), [F.asc("id")], 3, 25).collect() == []
