@@ -148,3 +148,15 @@ def test_cheap_tests_let_through_letters_that_fold(spark):
 def test_facets_of_declarations_exchange_the_lines_once(spark):
     text = plan(search.dispatch_item_facets(st.items(spark, SF)))
     assert text.count("rangepartitioning") == 1 and "hashpartitioning" not in text
+
+
+def test_cells_of_delimited_files_are_cut_once(spark):
+    from portolan.operators.sheets import delimited_to_cells
+    from portolan.queries import QUERIES
+
+    files = spark.createDataFrame([("a", "x;y\n;\n1;2"), ("b", ""), ("c", None)], "file_id string, text string")
+    cells = delimited_to_cells(files)
+    text = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in text.split("\n") if "Filter" in line.split("(")[0] and "regexp_extract_all" in line]
+    assert sorted(tuple(r) for r in cells.collect()) == [("a", 0, ["x", "y"]), ("a", 2, ["1", "2"])]
+    assert QUERIES["delimited_cells"](spark, SF).rdd.getNumPartitions() == 8
