@@ -98,6 +98,15 @@ def test_rescue_and_representative(spark):
     assert len(items) == 1 and items[0].brand == "ACME CORP" and items[0].total_value == 15000.5
 
 
+def test_headers_of_documents_without_items_suffice(spark):
+    both = pages(spark, HEADER).withColumn("doc_id", F.lit("bare")).unionByName(pages(spark, GOODS).withColumn("doc_id", F.lit("goods")))
+    found = ex.extract_items(both).select("doc_id").distinct()
+    bare = ex.pages_without_items(both, found)
+    assert {r.doc_id for r in bare.collect()} == {"bare"}
+    few = ex.representative_items(ex.fields_to_header(ex.extract_fields(bare)), found).collect()
+    assert few == ex.representative_items(ex.fields_to_header(ex.extract_fields(both)), ex.extract_items(both)).collect() and len(few) == 1
+
+
 def test_documents_of_any_size_are_read(spark):
     large = pages(spark, GOODS + "\nx" * 30_000_000)
     assert ex.oversized_documents(large, max_mb=50).count() == 1
