@@ -69,6 +69,13 @@ def test_replica_matching_reads_each_header_table_at_most_three_times(spark, tmp
     assert merged.count("FileScan") <= 5
 
 
+def test_sample_codes_need_no_formatter(spark):
+    codes = spark.range(300).select(F.col("id"), st.hs_code_of(F.col("id")).alias("code"))
+    assert "format_string" not in codes._jdf.queryExecution().analyzed().toString()
+    got = {r.id: r.code for r in codes.collect()}
+    assert (got[0], got[1], got[27], got[26]) == ("33030010000L", "3304.99.90.100L", "8517.13.00.700L", "33051000600L")
+
+
 def test_documents_are_extracted_once(spark):
     from portolan.operators import extraction as ex
 
