@@ -69,6 +69,25 @@ def test_replica_matching_reads_each_header_table_at_most_three_times(spark, tmp
     assert merged.count("FileScan") <= 5
 
 
+def test_survivors_are_found_by_one_pass_per_key(spark, tmp_path):
+    from portolan.operators.replica import survivors
+
+    rows = [(1, "A", "x"), (2, "A", "y"), (3, "B", "y"), (4, "B", "z"), (5, None, "z"), (6, None, ""), (7, " A ", None)]
+    spark.createDataFrame(rows, "id bigint, file_name string, file_hash string").write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    for lowest, want in ((True, {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 1}), (False, {1: 7, 2: 7, 3: 5, 4: 5, 5: 5, 6: 6, 7: 7})):
+        found = survivors(stored, ("file_name", "file_hash"), lowest)
+        assert plan(found).count("FileScan") == 1
+        assert {r.id: r.survivor_id for r in found.collect()} == want
+
+
+def test_padded_numbers_are_those_of_the_formatter(spark):
+    rows = spark.sql("select * from values (0L), (7L), (99L), (100L), (999999999L), (1000000000L), (-5L), (null) t(k)")
+    for width in (2, 9):
+        wrong = rows.filter(~st._padded(F.col("k"), width).eqNullSafe(F.format_string(f"%0{width}d", "k")))
+        assert wrong.isEmpty()
+
+
 def test_sample_codes_need_no_formatter(spark):
     codes = spark.range(300).select(F.col("id"), st.hs_code_of(F.col("id")).alias("code"))
     assert "format_string" not in codes._jdf.queryExecution().analyzed().toString()
