@@ -144,8 +144,12 @@ def _remote(spark, sf):
         F.when(key % 5 == 1, F.lit("S/N")).when(key % 5 == 2, F.lit("")).otherwise(F.col("number")).alias("number"),
         F.lit("REMOTE").alias("owner"), "date", F.lit("NARANJA").alias("channel"), "fob", "cif", "file_name",
         F.when(key % 5 == 2, F.sha2(F.col("number"), 224)).otherwise(F.col("file_hash")).alias("file_hash"), "status", "updated_at")
-    older = shifted.filter("id % 4 = 1").withColumn("id", F.col("id") + 500000000).withColumn("owner", F.lit("OLDER"))
-    return shifted.unionByName(older)
+    # The older copies are written from the same row, so the headers are read and hashed once.
+    own = F.struct("id", "owner")
+    older = F.struct((F.col("id") + 500000000).alias("id"), F.lit("OLDER").alias("owner"))
+    copies = F.when(F.col("id") % 4 == 1, F.array(own, older)).otherwise(F.array(own))
+    rest = [c for c in shifted.columns if c not in ("id", "owner")]
+    return shifted.select(F.inline(copies), *rest).select(*shifted.columns)
 
 
 def _remote_items(spark, sf):

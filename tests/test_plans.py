@@ -81,6 +81,16 @@ def test_survivors_are_found_by_one_pass_per_key(spark, tmp_path):
         assert {r.id: r.survivor_id for r in found.collect()} == want
 
 
+def test_sample_replica_reads_the_headers_once(spark):
+    from portolan.queries.changes import _heads, _remote
+
+    remote = _remote(spark, SF)
+    assert plan(remote).count("FileScan") == plan(_heads(spark, SF)).count("FileScan")
+    older = remote.filter("owner = 'OLDER'")
+    assert older.filter("(id - 500000000) % 4 <> 1").isEmpty()
+    assert older.count() == remote.filter("owner = 'REMOTE' and id % 4 = 1").count() > 0
+
+
 def test_padded_numbers_are_those_of_the_formatter(spark):
     rows = spark.sql("select * from values (0L), (7L), (99L), (100L), (999999999L), (1000000000L), (-5L), (null) t(k)")
     for width in (2, 9):
